@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut, one_spaced, shared_dir, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings while the stream runs. Many small stores must not each reserve disk in advance.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_of(text: Column) -> Column:
@@ -60,8 +64,9 @@ def update_state(
         F.min(F.struct(F.col("id").isNull().alias("void"), "id", "file", "row")).alias("first"),
         F.count(F.lit(1)).alias("n"),
     )
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -72,7 +77,8 @@ def update_state(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm import mixing, packing, secret_scan
+from tesserae.llm.common import documents
 from tesserae.llm.exact_dedup import exact_dedup
 
 
@@ -25,10 +27,96 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('mix-1/' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, list_value(5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE)[(row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1] AS weight,
+         source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER b, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0::DOUBLE)) AS level,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(weight * (SELECT min_by(level, k) FROM l WHERE weight * level < cap), cap)) AS target FROM l
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t
+), q AS (
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS lacks FROM p
+), r AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.lacks,
+         CASE WHEN q.p > 0 THEN (u / (1 - u)) / (q.p / (1 - q.p)) END AS rank
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS below FROM r
+)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN rank IS NOT NULL AND 2 * below + size <= 2 * lacks THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir), keys=("doc_id",))
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    counts = (
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE)
+    )
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def _op10_sql() -> str:
+    def rule(number: int, r: secret_scan.Rule) -> str:
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        return f"""
+  SELECT doc_id, {number} AS k, '{r.kind}' AS kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, value
+  FROM (SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found,
+               regexp_extract_all(t, {pattern}, {r.group}) AS value FROM d)
+  WHERE len(value[i]) >= {r.least}"""
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(rule(k, r) for k, r in enumerate(secret_scan.RULES))}),
+p AS (
+  SELECT doc_id, k, kind, length(found[i]) AS long,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM m
+), s AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + long)::BIGINT, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + long)::BIGINT, ',' ORDER BY start, k) AS spans
+  FROM p GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_mixing": op2_mixing,
+    "op7_packing": op7_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_mixing": OP2_SQL,
+    "op10_secret_scan": _op10_sql(),
 }
