@@ -74,9 +74,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir), keys=("doc_id",))
     base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
-    counts = (
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE)
-    )
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = (F.size(F.filter(kinds, lambda kind: kind == F.lit(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE))
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
@@ -84,10 +83,11 @@ def _op10_sql() -> str:
     def rule(number: int, r: secret_scan.Rule) -> str:
         pattern = "'" + r.pattern.replace("'", "''") + "'"
         return f"""
-  SELECT doc_id, {number} AS k, '{r.kind}' AS kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, value
-  FROM (SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found,
-               regexp_extract_all(t, {pattern}, {r.group}) AS value FROM d)
-  WHERE len(value[i]) >= {r.least}"""
+  SELECT * FROM (
+    SELECT doc_id, {number} AS k, '{r.kind}' AS kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, value
+    FROM (SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found,
+                 regexp_extract_all(t, {pattern}, {r.group}) AS value FROM d)
+  ) WHERE length(value[i]) >= {r.least}"""
 
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
