@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import mixing, packing, repetition, secret_scan, toxicity
+from tesserae.llm import html_extraction, mixing, near_dedup, packing, repetition, secret_scan, toxicity
 from tesserae.llm.common import documents
 from tesserae.llm.exact_dedup import exact_dedup
 
@@ -67,6 +67,15 @@ FROM c
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(documents(spark, sf_dir, "pages"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_dedup(documents(spark, sf_dir), words=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
@@ -121,7 +130,9 @@ FROM d LEFT JOIN s USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_repetition": op4_repetition,
+    "op5_near_dedup": op5_near_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
