@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import in_arrow
+
 WINDOW = 3
 SURGE = 80
 
@@ -153,4 +155,4 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return given.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return in_arrow(given, _extracted, "page_id long, url string, text string, n_chars long")

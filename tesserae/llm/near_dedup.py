@@ -12,9 +12,11 @@ Two sets with Jaccard similarity s meet in some table with probability
 2. Halves that no other class has can't meet in any table; only the others are combined to keys.
 3. A table entry's classes are compared with a centre of the entry, never all with all: in the
    first two rounds one centre per class (the smallest id, then the one met most often), then
-   all centres that are left, then all pairs of entries of up to ``SMALL`` classes. A round
-   looks only at entries that still hold several components, so entries whose classes are
-   already connected, the large groups of copies, cost nothing more.
+   all centres that are left, then all pairs across the components of an entry, as long as
+   they are no more than ``ACROSS`` times its classes. Entries with more get further rounds, a
+   centre drawn by hash each time, until rounds confirm nothing. A round looks only at entries
+   that still hold several components, so entries whose classes are already connected, the
+   large groups of copies, cost nothing more.
 4. Every candidate is confirmed on the full sets (64-bit shingle hashes). Confirmed links join
    components by alternating large and small stars, in tables, until nothing changes.
 
@@ -36,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, saved
+from tesserae.llm.common import cut, in_arrow, saved
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
-SMALL = 64
+#: Pairs across components that an entry may give at once, times its classes; quiet rounds that end the search.
+ACROSS, QUIET = 64, 3
 #: Ids up to which a filter by id is sent to all executors instead of dealing the texts by id.
 BROADCAST_ROWS = 500_000
 
@@ -152,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(given.mapInArrow(lambda b: _signatures(b, words), "id long, n long, k1 long, k2 long, halves array<long>"), "near-signatures")
+    signed = saved(in_arrow(given, lambda b: _signatures(b, words), "id long, n long, k1 long, k2 long, halves array<long>"), "near-signatures")
     able = signed.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     members = able.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "rep")
@@ -163,8 +166,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = saved(_table_entries(reps), "near-entries")
     wanted = _bounded(keyed.select(F.col("rep").alias("id")).distinct())
     sets = saved(
-        given.join(wanted, "id", "left_semi")
-        .mapInArrow(lambda b: _sets(b, words), "id long, k1 long, shingles array<long>")
+        in_arrow(given.join(wanted, "id", "left_semi"), lambda b: _sets(b, words), "id long, k1 long, shingles array<long>")
         .dropDuplicates(["id", "k1"])
         .select("id", "k1", F.size("shingles").cast("long").alias("n"), "shingles"),
         "near-sets",
@@ -172,18 +174,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = links
     tested = None
     parts = components(found) if not found.isEmpty() else None
-    live = keyed
-    for turn in range(4):
-        live, pairs = _candidates(live, parts, tested, turn)
+    live, turn, quiet = keyed, 0, 0
+    while quiet < QUIET:
+        live, pairs, more = _candidates(live, parts, tested, turn)
+        turn += 1
         if pairs.isEmpty():
-            if turn < 2:
-                continue
-            break
+            if turn > 3 and not more:
+                break
+            quiet += turn > 4
+            continue
         tested = pairs if tested is None else cut(tested.unionByName(pairs))
         confirmed = cut(_confirmed(pairs, sets, percent))
-        known = confirmed if parts is None else confirmed.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
         if not confirmed.isEmpty():
+            quiet = 0
+            known = confirmed if parts is None else confirmed.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             parts = components(known)
+        elif turn > 4:
+            quiet += 1
+        if turn > 3 and not more:
+            break
     if parts is None:
         linked = members.select("id", F.col("rep").alias("component_id"))
     else:
@@ -206,23 +215,33 @@ def _table_entries(reps: DataFrame) -> DataFrame:
     return entries.join(held, "key").select("key", "rep")
 
 
-def _candidates(entries: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The entries that still hold several components, and this round's new pairs (a < b)."""
+def _candidates(entries: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The entries that still hold several components, this round's new pairs (a < b), and
+    whether some entries have too many pairs across components to be done with."""
     entries = entries.select("key", "rep")
     if parts is None:
         of = entries.withColumn("part", F.col("rep"))
     else:
         of = entries.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(F.struct("rep", "part")).alias("centre"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    order = F.struct(F.col("rep").alias("by"), "rep", "part") if turn < 4 else F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("by"), "rep", "part")
+    state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(order).alias("centre"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     live = of.join(state.select("key", "centre", "size"), "key")
     if turn:
         live = cut(live)
-    if turn < 3:
-        pairs = live.where(F.col("part") != F.col("centre.part")).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
+    more = False
+    if turn == 3:
+        held = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        across = held.groupBy("key").agg(((F.first("size") * F.first("size") - F.sum(F.col("n") * F.col("n"))) / 2 <= ACROSS * F.first("size")).alias("few"))
+        few = live.join(across, "key")
+        rest = few.where("NOT few")
+        more = not rest.isEmpty()
+        few = few.where("few").select("key", "rep", "part")
+        other = few.select("key", F.col("rep").alias("b"), F.col("part").alias("other"))
+        pairs = few.withColumnRenamed("rep", "a").join(other, "key").where("a < b AND part <> other").select("a", "b")
+        live = rest
     else:
-        small = live.where(F.col("size") <= SMALL)
-        other = small.select("key", F.col("rep").alias("b"), F.col("part").alias("other"))
-        pairs = small.select("key", F.col("rep").alias("a"), "part").join(other, "key").where("a < b AND part <> other").select("a", "b")
+        pairs = live.where(F.col("part") != F.col("centre.part")).select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b"))
+        more = turn > 3
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -230,7 +249,7 @@ def _candidates(entries: DataFrame, parts: DataFrame | None, tested: DataFrame |
         pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
     elif turn == 1:
         pairs = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
-    return live, cut(pairs.select("a", "b"))
+    return live, cut(pairs.select("a", "b")), more
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import in_arrow
+
 #: Fixed values of the contract.
 WINDOW = 2048
 END = 1
@@ -175,4 +177,4 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, ranks_path: str | None
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, ranks_path: str | None = None) -> DataFrame:
     """One row per piece, see ``SCHEMA``."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(lambda batches: _pack(batches, window, ranks_path), SCHEMA)
+    return in_arrow(given, lambda batches: _pack(batches, window, ranks_path), SCHEMA)

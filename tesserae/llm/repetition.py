@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import in_arrow
+
 #: Fixed values of the contract: symbols counted, least words, most words in repeated 3-word windows (%).
 SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_REPEAT = 50, 50
@@ -167,4 +169,4 @@ def quality_rules(
     """One row per row of ``docs``, see ``SCHEMA``."""
     limits = (least, most_covered, most_longest, longest_share)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(lambda batches: _rules(batches, limits), SCHEMA)
+    return in_arrow(given, lambda batches: _rules(batches, limits), SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tesserae.llm.common import saved
+from tesserae.llm.common import in_arrow, saved, ship
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
@@ -153,7 +153,7 @@ def _words_and_beginnings(folded: str) -> set[str]:
 
 
 def _counts(train: DataFrame, terms_of) -> DataFrame:
-    rows = train.select("folded", "toxic").mapInArrow(lambda batches: _counted(batches, terms_of), "term string, toxic long, clean long")
+    rows = in_arrow(train.select("folded", "toxic"), lambda batches: _counted(batches, terms_of), "term string, toxic long, clean long")
     return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -165,7 +165,7 @@ def _folded(docs: DataFrame) -> DataFrame:
             folded = pa.array([fold(t.as_py() or "") for t in batch.column(0)], pa.string())
             yield pa.RecordBatch.from_arrays([folded, batch.column(1), batch.column(2)], names=["folded", "toxic", "pick"])
 
-    return docs.mapInArrow(run, "folded string, toxic int, pick long")
+    return in_arrow(docs, run, "folded string, toxic int, pick long")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -246,12 +246,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     part = min(1.0, fit_rows / (n_toxic + n_clean))
     sample = train.where(F.pmod("pick", F.lit(1 << 20)) < part * (1 << 20)).select("folded", "toxic")
-    fitted = sample.mapInArrow(seen, "a double, b double, toxic int").toPandas()
+    fitted = in_arrow(sample, seen, "a double, b double, toxic int").toPandas()
     return Model(lexicon, exceptions, _fit(fitted[["a", "b"]].to_numpy(float), fitted["toxic"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) appended; ``docs`` mustn't have that column."""
+    ship(docs.sparkSession)
     plain = docs.drop("score")
     @arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
