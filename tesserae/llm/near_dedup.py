@@ -12,11 +12,13 @@ Two sets with Jaccard similarity s meet in some table with probability
 2. Halves that no other class has can't meet in any table; only the others are combined to keys.
 3. A table entry's classes are compared with a centre of the entry, never all with all: in the
    first two rounds one centre per class (the smallest id, then the one met most often), then
-   all centres that are left, then all pairs across the components of an entry, as long as
-   they are no more than ``ACROSS`` times its classes. Entries with more get further rounds, a
-   centre drawn by hash each time, until rounds confirm nothing. A round looks only at entries
-   that still hold several components, so entries whose classes are already connected, the
-   large groups of copies, cost nothing more.
+   all centres that are left. A round looks only at entries that still hold several components,
+   so entries whose classes are already connected, the large groups of copies, cost nothing
+   more. The last round takes the pairs across components that are left (never within one: the
+   classes outside an entry's largest component against the others), each only from the first
+   table in which it meets, if sizes allow the similarity, ``AGREE`` halves agree (missed by
+   one in 15,000 pairs at s = 0.8), and the distances of both to a centre that they share
+   don't rule it out (Jaccard distance obeys the triangle inequality).
 4. Every candidate is confirmed on the full sets (64-bit shingle hashes). Confirmed links join
    components by alternating large and small stars, in tables, until nothing changes.
 
@@ -31,19 +33,20 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, in_arrow, saved
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
-#: Pairs across components that an entry may give at once, times its classes; quiet rounds that end the search.
-ACROSS, QUIET = 64, 3
+#: Halves that two classes share at least if the last round is to compare them.
+AGREE = 4
 #: Ids up to which a filter by id is sent to all executors instead of dealing the texts by id.
 BROADCAST_ROWS = 500_000
 
@@ -161,8 +164,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = able.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "rep")
     # An id with several texts is one document: its classes are linked through it.
     links = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    reps = able.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"]).dropDuplicates(["id", "n", "k1", "k2"])
-
+    reps = saved(
+        able.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"])
+        .dropDuplicates(["id", "n", "k1", "k2"])
+        .select(F.col("id").alias("rep"), "n", "halves"),
+        "near-classes",
+    )
     keyed = saved(_table_entries(reps), "near-entries")
     wanted = _bounded(keyed.select(F.col("rep").alias("id")).distinct())
     sets = saved(
@@ -174,25 +181,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = links
     tested = None
     parts = components(found) if not found.isEmpty() else None
-    live, turn, quiet = keyed, 0, 0
-    while quiet < QUIET:
-        live, pairs, more = _candidates(live, parts, tested, turn)
-        turn += 1
+    live = keyed
+    for turn in range(4):
+        live, pairs = _candidates(live, reps, parts, tested, turn, percent)
         if pairs.isEmpty():
-            if turn > 3 and not more:
+            if turn == 0:  # no two classes meet
                 break
-            quiet += turn > 4
             continue
         tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        confirmed = cut(_confirmed(pairs, sets, percent))
+        compared = cut(_compared(pairs, sets, percent))
+        if turn == 0:
+            reps = reps.join(compared.select(F.col("b").alias("rep"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("either")).alias("away")), "rep", "left")
+        confirmed = compared.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
         if not confirmed.isEmpty():
-            quiet = 0
             known = confirmed if parts is None else confirmed.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             parts = components(known)
-        elif turn > 4:
-            quiet += 1
-        if turn > 3 and not more:
-            break
     if parts is None:
         linked = members.select("id", F.col("rep").alias("component_id"))
     else:
@@ -204,56 +207,68 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _table_entries(reps: DataFrame) -> DataFrame:
-    """(key, rep): the entries of all tables that hold two classes or more."""
-    halves = cut(reps.select(F.col("id").alias("rep"), F.posexplode("halves").alias("slot", "half")))
+    """(key, rep, lo): the entries of all tables that hold two classes or more, lo the smallest."""
+    halves = reps.select("rep", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("slot", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("slot", "half")
     own = halves.join(shared, ["slot", "half"]).groupBy("rep").agg(F.collect_set(F.struct("slot", "half")).alias("own"))
     first, second = (F.filter("own", lambda x: (x["slot"] < SIDE) if side == 0 else (x["slot"] >= SIDE)) for side in (0, 1))
     keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["slot"], a["half"], b["slot"], b["half"]))))
     entries = own.select("rep", F.explode(keys).alias("key"))
-    held = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    return entries.join(held, "key").select("key", "rep")
+    held = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "lo")
+    return entries.join(held, "key").select("key", "rep", "lo")
 
 
-def _candidates(entries: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, bool]:
-    """The entries that still hold several components, this round's new pairs (a < b), and
-    whether some entries have too many pairs across components to be done with."""
-    entries = entries.select("key", "rep")
-    if parts is None:
-        of = entries.withColumn("part", F.col("rep"))
-    else:
-        of = entries.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    order = F.struct(F.col("rep").alias("by"), "rep", "part") if turn < 4 else F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("by"), "rep", "part")
-    state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min(order).alias("centre"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    live = of.join(state.select("key", "centre", "size"), "key")
-    if turn:
-        live = cut(live)
-    more = False
-    if turn == 3:
-        held = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-        across = held.groupBy("key").agg(((F.first("size") * F.first("size") - F.sum(F.col("n") * F.col("n"))) / 2 <= ACROSS * F.first("size")).alias("few"))
-        few = live.join(across, "key")
-        rest = few.where("NOT few")
-        more = not rest.isEmpty()
-        few = few.where("few").select("key", "rep", "part")
-        other = few.select("key", F.col("rep").alias("b"), F.col("part").alias("other"))
-        pairs = few.withColumnRenamed("rep", "a").join(other, "key").where("a < b AND part <> other").select("a", "b")
-        live = rest
+def _meet(a: str, b: str) -> tuple[Column, Column]:
+    """The key of the first table in which two classes with these halves meet, and how many agree.
+
+    Written out half by half, so that the join evaluates it in compiled code.
+    """
+    same = [F.get(a, F.lit(k)) == F.get(b, F.lit(k)) for k in range(2 * SIDE)]
+
+    def first(slots: range) -> tuple[Column, Column]:
+        slot, half = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for k in reversed(slots):
+            slot, half = F.when(same[k], F.lit(k)).otherwise(slot), F.when(same[k], F.get(a, F.lit(k))).otherwise(half)
+        return slot, half
+
+    key = F.xxhash64(*first(range(SIDE)), *first(range(SIDE, 2 * SIDE)))
+    return key, reduce(lambda x, y: x + y, (x.cast("int") for x in same))
+
+
+def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The entries that still hold several components, and this round's new pairs (a < b)."""
+    if turn == 0:
+        # Nothing is joined yet but ids with several texts, whose classes are merely compared once more.
+        return entries, cut(entries.where("rep <> lo").groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).select("a", "b"))
+    of = entries.select("key", "rep").withColumn("part", F.col("rep"))
+    if parts is not None:
+        known = _bounded(parts.select(F.col("node").alias("rep"), "component"))
+        of = of.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("centre"), F.min_by("part", "rep").alias("home"))
+    live = saved(of.join(state.where("lo <> hi").select("key", "centre", "home"), "key"), "near-live")
+    if turn < 3:
+        pairs = live.where("part <> home").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     else:
-        pairs = live.where(F.col("part") != F.col("centre.part")).select(F.least("centre.rep", "rep").alias("a"), F.greatest("centre.rep", "rep").alias("b"))
-        more = turn > 3
+        # Classes outside the largest component of an entry, each against the classes of other components.
+        largest = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+        held = live.select("key", "rep", "part").join(largest, "key").join(reps, "rep")
+        one = held.where("part <> largest").select("key", F.col("rep").alias("a"), "part", F.col("n").alias("na"), F.col("halves").alias("ha"), F.col("centre").alias("ca"), F.col("away").alias("da"))
+        two = held.select(F.col("key").alias("with"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
+        apart = (F.col("part") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        apart &= F.coalesce((F.col("ca") != F.col("cb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9), F.lit(True))
+        first, agree = _meet("ha", "hb")
+        pairs = one.join(two, (F.col("key") == F.col("with")) & apart & (F.col("key") == first) & (agree >= AGREE)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    if turn == 0:
-        pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    elif turn == 1:
+    if turn == 1:
         pairs = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
-    return live, cut(pairs.select("a", "b")), more
+    return live, cut(pairs.select("a", "b"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; sizes that rule a pair out go first."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, either): sizes of intersection and union of the full sets; pairs whose sizes
+    rule the similarity out are left out. An id with several texts counts with each of them."""
     sizes = sets.select("id", "n")
     near = (
         pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
@@ -263,8 +278,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
+    best = counted.groupBy("a", "b").agg(F.max(F.struct((F.col("common") / (F.col("sum") - F.col("common"))).alias("s"), "common", (F.col("sum") - F.col("common")).alias("either"))).alias("best"))
+    return best.select("a", "b", "best.common", "best.either")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
