@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extraction, mixing, near_dedup, packing, repetition, secret_scan, toxicity
+from tesserae.llm import html_extraction, line_dedup, mixing, near_dedup, packing, repetition, secret_scan, toxicity
 from tesserae.llm.common import documents
 from tesserae.llm.exact_dedup import exact_dedup
 
@@ -86,6 +86,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("first_id").alias("class_doc_id"), F.col("first_line").alias("class_line_no"), "n_links", "removed")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_repetition": op4_repetition,
     "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
