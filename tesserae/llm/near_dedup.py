@@ -286,4 +286,4 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id."""
     gone = near_dedup(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(_bounded(gone), id_col, "left_anti").select(*docs.columns)

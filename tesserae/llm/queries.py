@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import html_extraction, line_dedup, mixing, near_dedup, packing, repetition, secret_scan, toxicity
+from tesserae.llm import chat_formatting, html_extraction, line_dedup, mixing, near_dedup, packing, repetition, secret_scan, toxicity
 from tesserae.llm.common import documents
 from tesserae.llm.exact_dedup import exact_dedup
 
@@ -95,6 +95,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = documents(spark, sf_dir, "conversations")
+    # Nothing is learned from a fifth of the conversations, by which the recovered roles can be judged.
+    model = chat_formatting.learn(turns.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0))
+    found = chat_formatting.format_chats(turns, model)
+    return found.select(F.col("id").alias("conv_id"), F.col("order").alias("turn"), "piece", "role", "opens", "rendered")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir), keys=("doc_id",))
     base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
@@ -141,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scan": op10_secret_scan,
 }
 
