@@ -10,15 +10,15 @@ Two sets with Jaccard similarity s meet in some table with probability
 1. Each text becomes its set's size, identity and halves. Equal sets form a class, represented
    by its smallest id, before anything is compared.
 2. Halves that no other class has can't meet in any table; only the others are combined to keys.
-3. A table entry's classes are compared with a centre of the entry, never all with all: in the
-   first two rounds one centre per class (the smallest id, then the one met most often), then
-   all centres that are left. A round looks only at entries that still hold several components,
-   so entries whose classes are already connected, the large groups of copies, cost nothing
-   more. The last round takes the pairs across components that are left (never within one: the
-   classes outside an entry's largest component against the others), each only from the first
-   table in which it meets, if sizes allow the similarity, ``AGREE`` halves agree (missed by
-   one in 15,000 pairs at s = 0.8), and the distances of both to a centre that they share
-   don't rule it out (Jaccard distance obeys the triangle inequality).
+3. A table entry's classes are compared with a centre of the entry, never all with all: first
+   one centre per class, the smallest id, then all centres that are left. A round looks only at
+   entries that still hold several components, so entries whose classes are already connected,
+   the large groups of copies, cost nothing more. The last round takes the pairs across
+   components that are left (never within one: the classes outside an entry's largest component
+   against the others), each only from the first table in which it meets, if sizes allow the
+   similarity, ``AGREE`` minhashes agree in four bits (missed by one in 20,000 pairs at s = 0.8),
+   and the distances of both to a centre that they share don't rule it out (Jaccard distance
+   obeys the triangle inequality).
 4. Every candidate is confirmed on the full sets (64-bit shingle hashes). Confirmed links join
    components by alternating large and small stars, in tables, until nothing changes.
 
@@ -45,8 +45,8 @@ from tesserae.llm.common import cut, in_arrow, saved
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
-#: Halves that two classes share at least if the last round is to compare them.
-AGREE = 4
+#: Of the 2 * SIDE * DEPTH minhashes, how many agree at least if the last round is to compare two classes.
+AGREE = 86
 #: Ids up to which a filter by id is sent to all executors instead of dealing the texts by id.
 BROADCAST_ROWS = 500_000
 
@@ -87,8 +87,8 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         yield np.unique(_mixed(rolled))
 
 
-def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """2 * SIDE hashes of DEPTH minhashes each."""
+def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """2 * SIDE hashes of DEPTH minhashes each, and four bits of every minhash, sixteen to a number."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for k in range(0, len(low), 4096):
@@ -97,7 +97,8 @@ def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
     half = np.arange(2 * SIDE, dtype=np.uint64)
     for k in range(DEPTH):
         half = _mixed(half * _STEP + grouped[:, k])
-    return half
+    bits = (least.astype(np.uint64) * _STEP >> np.uint64(60)).reshape(-1, 16)
+    return half, np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -105,15 +106,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            sizes, sums, others, halves = [], [], [], []
+            sizes, sums, others, halves, bits = [], [], [], [], []
             for s in shingle_sets(part.column(1).to_pylist(), words):
                 sizes.append(len(s))
                 sums.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 others.append(int(np.bitwise_xor.reduce(_mixed(s + _STEP)).astype(np.int64)) if len(s) else 0)
-                halves.append(_halves(s, factors, offsets).view(np.int64) if len(s) else np.array([], np.int64))
+                half, bit = _halves(s, factors, offsets) if len(s) else (s, s)
+                halves.append(half.view(np.int64))
+                bits.append(bit.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-                names=["id", "n", "k1", "k2", "halves"],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), pa.array(halves, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["id", "n", "k1", "k2", "halves", "bits"],
             )
 
 
@@ -158,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(in_arrow(given, lambda b: _signatures(b, words), "id long, n long, k1 long, k2 long, halves array<long>"), "near-signatures")
+    signed = saved(in_arrow(given, lambda b: _signatures(b, words), "id long, n long, k1 long, k2 long, halves array<long>, bits array<long>"), "near-signatures")
     able = signed.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     members = able.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "rep")
@@ -167,7 +170,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = saved(
         able.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"])
         .dropDuplicates(["id", "n", "k1", "k2"])
-        .select(F.col("id").alias("rep"), "n", "halves"),
+        .select(F.col("id").alias("rep"), "n", "halves", "bits"),
         "near-classes",
     )
     keyed = saved(_table_entries(reps), "near-entries")
@@ -182,7 +185,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = None
     parts = components(found) if not found.isEmpty() else None
     live = keyed
-    for turn in range(4):
+    for turn in range(3):
         live, pairs = _candidates(live, reps, parts, tested, turn, percent)
         if pairs.isEmpty():
             if turn == 0:  # no two classes meet
@@ -207,32 +210,44 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _table_entries(reps: DataFrame) -> DataFrame:
-    """(key, rep, lo): the entries of all tables that hold two classes or more, lo the smallest."""
+    """(key, table, rep, lo): the entries of all tables that hold two classes or more, lo the smallest."""
     halves = reps.select("rep", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("slot", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("slot", "half")
     own = halves.join(shared, ["slot", "half"]).groupBy("rep").agg(F.collect_set(F.struct("slot", "half")).alias("own"))
     first, second = (F.filter("own", lambda x: (x["slot"] < SIDE) if side == 0 else (x["slot"] >= SIDE)) for side in (0, 1))
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["slot"], a["half"], b["slot"], b["half"]))))
-    entries = own.select("rep", F.explode(keys).alias("key"))
-    held = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "lo")
-    return entries.join(held, "key").select("key", "rep", "lo")
 
+    def combined(a: Column, b: Column) -> Column:
+        return F.struct((a["slot"] * 2 * SIDE + b["slot"]).alias("table"), F.xxhash64(a["slot"], a["half"], b["slot"], b["half"]).alias("key"))
+
+    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: combined(a, b))))
+    entries = own.select("rep", F.inline(keys))
+    held = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "lo")
+    return entries.join(held, "key").select("key", "table", "rep", "lo")
 
-def _meet(a: str, b: str) -> tuple[Column, Column]:
-    """The key of the first table in which two classes with these halves meet, and how many agree.
 
-    Written out half by half, so that the join evaluates it in compiled code.
-    """
-    same = [F.get(a, F.lit(k)) == F.get(b, F.lit(k)) for k in range(2 * SIDE)]
+def _first_table(a: str, b: str) -> Column:
+    """The first table in which two classes with these halves meet. Written out half by half, so
+    that the join evaluates it in compiled code."""
 
-    def first(slots: range) -> tuple[Column, Column]:
-        slot, half = F.lit(None).cast("int"), F.lit(None).cast("long")
+    def first(slots: range) -> Column:
+        slot = F.lit(None).cast("int")
         for k in reversed(slots):
-            slot, half = F.when(same[k], F.lit(k)).otherwise(slot), F.when(same[k], F.get(a, F.lit(k))).otherwise(half)
-        return slot, half
+            slot = F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(k)).otherwise(slot)
+        return slot
+
+    return first(range(SIDE)) * 2 * SIDE + first(range(SIDE, 2 * SIDE))
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many minhashes agree in their four bits."""
+
+    def differing(k: int) -> Column:
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    key = F.xxhash64(*first(range(SIDE)), *first(range(SIDE, 2 * SIDE)))
-    return key, reduce(lambda x, y: x + y, (x.cast("int") for x in same))
+    return 2 * SIDE * DEPTH - reduce(lambda x, y: x + y, (differing(k) for k in range(2 * SIDE * DEPTH // 16)))
 
 
 def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -240,29 +255,28 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
     if turn == 0:
         # Nothing is joined yet but ids with several texts, whose classes are merely compared once more.
         return entries, cut(entries.where("rep <> lo").groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).select("a", "b"))
-    of = entries.select("key", "rep").withColumn("part", F.col("rep"))
+    of = entries.select("key", "table", "rep").withColumn("part", F.col("rep"))
     if parts is not None:
         known = _bounded(parts.select(F.col("node").alias("rep"), "component"))
-        of = of.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        of = of.join(known, "rep", "left").select("key", "table", "rep", F.coalesce("component", "rep").alias("part"))
     state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("centre"), F.min_by("part", "rep").alias("home"))
     live = saved(of.join(state.where("lo <> hi").select("key", "centre", "home"), "key"), "near-live")
-    if turn < 3:
+    if turn < 2:
         pairs = live.where("part <> home").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     else:
         # Classes outside the largest component of an entry, each against the classes of other components.
         largest = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-        held = live.select("key", "rep", "part").join(largest, "key").join(reps, "rep")
-        one = held.where("part <> largest").select("key", F.col("rep").alias("a"), "part", F.col("n").alias("na"), F.col("halves").alias("ha"), F.col("centre").alias("ca"), F.col("away").alias("da"))
-        two = held.select(F.col("key").alias("with"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
+        brief = reps.withColumn("halves", F.transform("halves", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+        held = live.select("key", "table", "rep", "part").join(largest, "key").join(brief, "rep")
+        one = held.where("part <> largest").select("key", "table", F.col("bits").alias("ba"), F.col("rep").alias("a"), "part", F.col("n").alias("na"), F.col("halves").alias("ha"), F.col("centre").alias("ca"), F.col("away").alias("da"))
+        two = held.select(F.col("key").alias("with"), F.col("bits").alias("bb"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
         apart = (F.col("part") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         apart &= F.coalesce((F.col("ca") != F.col("cb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-        first, agree = _meet("ha", "hb")
-        pairs = one.join(two, (F.col("key") == F.col("with")) & apart & (F.col("key") == first) & (agree >= AGREE)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+        apart &= (_agreeing("ba", "bb") >= AGREE) & (F.col("table") == _first_table("ha", "hb"))
+        pairs = one.join(two, (F.col("key") == F.col("with")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    if turn == 1:
-        pairs = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
     return live, cut(pairs.select("a", "b"))
 
 
