@@ -45,25 +45,21 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(word, F.lit(BUCKETS)).cast("int")
-
-
 def _bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
 def rarity_sketch(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant array with the rarity (eighths of a power of two) of every bucket.
+    """A constant array with the rarity (eighths of a power of two, above the hash bits) of every bucket.
 
     It has ``BUCKETS`` numbers whatever the corpus, so it goes through the driver into the plan.
     """
     words = docs.select(F.explode(_words(text_of(text_col))).alias("word"))
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * BUCKETS
     for row in counts.select("bucket", (F.floor(8 * F.log2("n")) + 1).alias("level")).collect():
-        levels[row["bucket"]] = str(row["level"])
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+        levels[row["bucket"]] = str(row["level"] << _HASH_BITS)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<long>")
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,20 +70,15 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _tokens(lines: DataFrame, levels: Column, words: int) -> DataFrame:
     """``lines`` with ``tokens``: the set in order of rarity. Each is its rarity, then its hash."""
-    coded = lines.withColumn(
-        "coded",
-        F.transform(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), _HASH_BITS) + h.bitwiseAND(F.lit(_MASK))),
-    ).where(F.size("coded") > 0)
-
-    def token(run: list[Column]) -> Column:
-        rarest = F.least(*run) if len(run) > 1 else run[0]
-        return F.shiftleft(F.shiftright(rarest, _HASH_BITS), _HASH_BITS) + F.xxhash64(*run).bitwiseAND(F.lit(_MASK))
+    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    ranked = F.transform(hashed, lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + h.bitwiseAND(F.lit(_MASK)))
+    coded = lines.withColumn("coded", ranked).where(F.size("coded") > 0)
 
-    def shingle(first: Column, at: Column) -> Column:
-        return token([first, *(F.get("coded", at + k) for k in range(1, words))])
+    def token(run: Column) -> Column:
+        return F.shiftleft(F.shiftright(F.array_min(run), _HASH_BITS), _HASH_BITS) + F.xxhash64(run).bitwiseAND(F.lit(_MASK))
 
-    long = F.transform(F.slice("coded", F.lit(1), F.size("coded") - (words - 1)), shingle)
-    short = F.array(F.shiftleft(F.shiftright(F.array_min("coded"), _HASH_BITS), _HASH_BITS) + F.xxhash64(F.lit(0), "coded").bitwiseAND(F.lit(_MASK)))
+    runs = F.transform(F.slice("coded", F.lit(1), F.size("coded") - (words - 1)), lambda _, at: F.slice("coded", at + 1, F.lit(words)))
+    long, short = F.transform(runs, token), F.array(token(F.col("coded")))
     return coded.withColumn("tokens", F.sort_array(F.array_distinct(F.when(F.size("coded") >= words, long).otherwise(short)))).drop("coded")
 
 
