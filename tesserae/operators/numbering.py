@@ -1,16 +1,39 @@
-"""Consecutive numbers over a whole table without sorting it in one task."""
+"""Running sums and consecutive numbers over whole tables without sorting them in one task.
+
+Values are dealt into buckets by quantiles of the order column (a fixed number of them, found
+in one pass), summed per bucket, and only those sums, a row per group and bucket, are summed up
+in order; inside a bucket a window runs as usual.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+
+
+def bucket_of(frame: DataFrame, order: str, buckets: int = BUCKETS) -> Column:
+    """A bucket number that rises with ``order``; nulls come first."""
+    shares = [k / buckets for k in range(1, buckets)]
+    found = frame.agg(F.percentile_approx(order, shares, 10_000).alias("at")).first()["at"] or []
+    edges = F.array(*(F.lit(x) for x in sorted(set(found)))) if found else F.array().cast("array<double>")
+    return F.coalesce(F.size(F.filter(edges, lambda x: x < F.col(order))), F.lit(0))
+
+
+def running(frame: DataFrame, groups: list[str], order: str, values: dict[str, str], buckets: int = BUCKETS) -> DataFrame:
+    """``frame`` with, per group, the running sum of each value up to and with the row (new names as
+    the keys of ``values``). Rows of equal order share their sum."""
+    dealt = frame.withColumn("bucket", bucket_of(frame, order, buckets))
+    sums = dealt.groupBy(*groups, "bucket").agg(*(F.sum(v).alias(f"of_{k}") for k, v in values.items()))
+    above = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*groups, "bucket", *(F.coalesce(F.sum(f"of_{k}").over(above), F.lit(0)).alias(f"before_{k}") for k in values))
+    inside = Window.partitionBy(*groups, "bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.select("*", *(F.sum(v).over(inside).alias(f"in_{k}") for k, v in values.items()))
+    joined = summed.join(before, [*groups, "bucket"])
+    return joined.select(*frame.columns, *((F.col(f"in_{k}") + F.col(f"before_{k}")).alias(k) for k in values))
+
 
 def numbered(frame: DataFrame, order: str, out: str) -> DataFrame:
-    """``frame`` with 0, 1, ... by ``order`` (unique): range partitions are numbered on their own,
-    and the counts of the partitions before each, a row per partition, are added."""
-    parts = frame.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    inside = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("least")) - F.col("n"))
-    return inside.join(F.broadcast(before.select("part", "before")), "part").withColumn(out, F.col("before") + F.col("k") - 1).drop("part", "k", "before")
+    """``frame`` with 0, 1, ... by ``order``, whose values are unique."""
+    return running(frame.withColumn("one", F.lit(1)), [], order, {out: "one"}).withColumn(out, F.col(out) - 1).drop("one")
