@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import ship
+
 #: The six ASCII white-space characters; every other character belongs to a word.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -64,20 +64,6 @@ def one_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, for functions that run in Python there."""
-    context = spark.sparkContext
-    if getattr(context, "tesserae_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tesserae-")) / "tesserae.zip"
-    with zipfile.ZipFile(archive, "w") as packed:
-        for source in sorted(root.rglob("*.py")):
-            packed.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context.tesserae_shipped = True
-
-
 def in_arrow(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(frame.sparkSession)
