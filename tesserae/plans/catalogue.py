@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tesserae.plans.proxies import table
@@ -34,7 +35,7 @@ _OME = (
 )
 
 
-@arrow_udf("mpp_x double, objective double, width int")
+@arrow_udf(T.StructType().add("mpp_x", "double").add("objective", "double").add("width", "integer"))
 def _described(texts: pa.Array, mains: pa.Array) -> pa.Array:
     from tesserae.sources.tiff import ome
 
@@ -44,14 +45,13 @@ def _described(texts: pa.Array, mains: pa.Array) -> pa.Array:
 
 @query(
     "src_10_ome_choice",
-    """SELECT p_partkey AS slide_id, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_partkey % 3 = 2 OR p_size < 20 THEN round(p_size * 10 / 1000.0::DOUBLE, 9) ELSE 0.25 END AS mpp_x,
-  CASE WHEN p_size % 4 <> 3 THEN 20 END::DOUBLE AS objective, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_partkey % 3 = 2 OR p_size < 20 THEN p_size ELSE CASE WHEN p_size = 25 THEN 50 ELSE 50 END END::INT AS width
-FROM part WHERE p_size <> 25""",
+    """SELECT p_partkey AS slide_id, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_partkey % 3 = 2 OR p_size <= 25 THEN round(p_size * 10 / 1000.0::DOUBLE, 9) ELSE 0.25 END AS mpp_x,
+  CASE WHEN p_size % 4 <> 3 THEN 20 END::DOUBLE AS objective, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_partkey % 3 = 2 OR p_size <= 25 THEN p_size ELSE 50 END::INT AS width FROM part""",
 )
 def ome_choice(spark, sf_dir):
     """By directory, else by the smallest physical size; a cut-off text gives nothing."""
     ship(spark)
-    part = table(spark, sf_dir, "part").where("p_size <> 25")  # there both images have the same scale
+    part = table(spark, sf_dir, "part")
     whole = F.format_string(_OME, "p_size", F.col("p_size") * 10, (F.col("p_partkey") % 3).cast("int"))
     text = F.when(F.col("p_size") % 4 == 3, F.substring(whole, 1, 80)).otherwise(whole)
     found = part.select(F.col("p_partkey").alias("slide_id"), _described(text, F.lit(2)).alias("d"))
