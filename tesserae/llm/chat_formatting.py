@@ -4,7 +4,7 @@ A transcript is a run of texts in order. Texts are split where a line opens with
 marker; each piece has observed symbols: its marker, its length, its number of lines, and
 for every line its length and whether it asks. A hidden Markov model with the roles as states is
 learned from labelled transcripts by counting (first roles, role after role, symbols per role,
-one added to each); Viterbi decoding gives the likeliest roles, and each piece is rendered
+one added to each, lengths evened a little, and what markers mean partly given); Viterbi decoding gives the likeliest roles, and each piece is rendered
 under its role, its marker taken off, adjacent pieces of one role as one turn.
 
 Decoding is exact for transcripts of any length without gathering one in a task: texts are dealt
@@ -37,7 +37,13 @@ _MARKER = r"[ \t]*(?:[#>*\[]{1,3}[ \t]*)?(?:%s)[ \t]*[\]*]{0,2}[ \t]*:[ \t]*"
 _ANY = "(?i:" + _MARKER % "|".join(MARKERS.values()) + ")"
 CHUNK = 256
 _LENGTHS, _LINES, _MARKS = 12, 8, len(ROLES) + 1
-SYMBOLS = 2 * _LENGTHS + _LINES + _MARKS * 2 * _LENGTHS
+#: Where the symbols of each observed factor start: line lengths, number of lines, whole length, marker.
+_STARTS = (0, 2 * _LENGTHS, 2 * _LENGTHS + _LINES, 4 * _LENGTHS + _LINES, 4 * _LENGTHS + _LINES + _MARKS)
+SYMBOLS = _STARTS[-1]
+#: Share of a factor's likelihood that is even over its symbols, so that no unseen length decides alone.
+EVEN = 0.1
+#: How sure a role is of its own marker, and how many seen markers that belief weighs.
+OWN, BELIEF = 0.999, 10.0
 
 
 def _size_class(size: Column, most: int) -> Column:
@@ -53,14 +59,14 @@ def pieces(texts: DataFrame, id_col: str = "conv_id", order_col: str = "turn", t
         mark = F.when(F.col("raw").rlike("^(?i:" + _MARKER % MARKERS[role_name] + ")"), number).otherwise(mark)
     marked = split.withColumn("mark", mark).withColumn("body", F.regexp_replace("raw", f"^{_ANY}", "")).withColumn("lines", F.split("body", "\n", -1))
     line = F.transform("lines", lambda x: _size_class(F.length(x), _LENGTHS) * 2 + F.endswith(F.rtrim(x), F.lit("?")).cast("int"))
-    lines = F.lit(2 * _LENGTHS) + F.least(F.size("lines"), F.lit(_LINES)) - 1
-    whole = F.lit(2 * _LENGTHS + _LINES) + F.col("mark") * (2 * _LENGTHS) + F.least(F.floor(2 * F.log2(F.length("body").cast("double") + 1)), F.lit(2 * _LENGTHS - 1)).cast("int")
-    return marked.withColumn("symbols", F.concat(line, F.array(lines, whole))).drop("raw", "lines")
+    lines = F.lit(_STARTS[1]) + F.least(F.size("lines"), F.lit(_LINES)) - 1
+    whole = F.lit(_STARTS[2]) + F.least(F.floor(2 * F.log2(F.length("body").cast("double") + 1)), F.lit(2 * _LENGTHS - 1)).cast("int")
+    return marked.withColumn("symbols", F.concat(line, F.array(lines, whole, F.lit(_STARTS[3]) + F.col("mark")))).drop("raw", "lines")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Logs of probabilities: first role, role after role, symbol per role."""
+    """Logs of probabilities: first role, role after role, symbol of each factor per role."""
 
     first: tuple[float, ...]
     after: tuple[tuple[float, ...], ...]
@@ -88,7 +94,15 @@ def learn(texts: DataFrame, id_col: str = "conv_id", order_col: str = "turn", te
     seen = pieces(labelled, id_col, order_col, text_col, role_col).select("role", F.explode("symbols").alias("symbol"))
     for row in seen.groupBy("role", "symbol").agg(F.count(F.lit(1)).alias("n")).collect():
         symbol[ROLES.index(row["role"]), row["symbol"]] += row["n"]
-    return Model(tuple(_logs(first)), tuple(map(tuple, _logs(after))), tuple(map(tuple, _logs(symbol))))
+    parts = []
+    for a, b in zip(_STARTS[:3], _STARTS[1:4], strict=True):
+        parts.append(np.log((1 - EVEN) * np.exp(_logs(symbol[:, a:b])) + EVEN / (b - a)))
+    # Whether a piece is marked says nothing of its role, which marker it has does.
+    given = np.full((n, n), (1 - OWN) / (n - 1))
+    given[np.arange(n), np.arange(n)] = OWN
+    marks = symbol[:, _STARTS[3] + 1 :] + BELIEF * given
+    logs = np.hstack([*parts, np.zeros((n, 1)), np.log(marks / marks.sum(axis=1, keepdims=True))])
+    return Model(tuple(_logs(first)), tuple(map(tuple, _logs(after))), tuple(map(tuple, logs)))
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
