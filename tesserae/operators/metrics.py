@@ -58,9 +58,8 @@ def macro_auc(predictions: DataFrame, probs: str, label: str, strict: bool = Fal
     mean = F.avg("auc")
     if strict:
         mean = F.when(F.count("auc") < F.count(F.lit(1)), F.raise_error(F.lit("a class has no rows")).cast("double")).otherwise(mean)
-    kinds = predictions.agg(F.count_distinct(label).alias("kinds"))
-    found = each.agg(mean.alias("auc"))
-    return found.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one").select(F.when(F.col("kinds") == 1, F.lit(-1.0)).otherwise(F.col("auc")).alias("auc"))
+    kinds = predictions.agg(F.count_distinct(label)).scalar()
+    return each.agg(mean.alias("auc")).select(F.when(kinds == 1, F.lit(-1.0)).otherwise(F.col("auc")).alias("auc"))
 
 
 def micro_auc(predictions: DataFrame, probs: str, label: str, keep_absent: bool = False) -> DataFrame:
@@ -108,7 +107,6 @@ def percentile_against(frame: DataFrame, reference: DataFrame, score: str, out:
     ask = frame.select(F.col(score).alias("s")).distinct().select("s", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
     merged = ref.unionByName(ask).groupBy("s").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     summed = running(merged, [], "s", {"upto": "n"})
-    size = reference.agg(F.count(F.lit(1)).alias("size")).withColumn("one", F.lit(1))
     below, upto = F.col("upto") - F.col("n"), F.col("upto")
-    value = (below + upto + (F.col("n") > 0).cast("int")) * 50.0 / F.col("size")
-    return summed.where("asked = 1").withColumn("one", F.lit(1)).join(F.broadcast(size), "one").select(F.col("s").alias(score), value.alias(out))
+    value = (below + upto + (F.col("n") > 0).cast("int")) * 50.0 / reference.agg(F.count(F.lit(1))).scalar()
+    return summed.where("asked = 1").select(F.col("s").alias(score), value.alias(out))

@@ -36,10 +36,8 @@ def weighted_with_replacement(frame: DataFrame, key: str, weight: str, seed: int
     join and no range join."""
     edges = running(numbered(frame.select(key, weight), key, "place"), [], "place", {"upto": weight}).select("place", key, (F.col("upto") - F.col(weight)).alias("from"), F.col("upto").alias("to"))
     edges = edges.where("to > from")
-    total = edges.agg(F.max("to").alias("total"))
-    draws = frame.select(F.col(key).alias("drawer")).withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-    number = F.conv(F.substring(drawn(seed, F.col("drawer")), 1, 12), 16, 10).cast("long") % F.col("total")
-    points = draws.select("drawer", number.alias("at"))
+    number = F.conv(F.substring(drawn(seed, F.col("drawer")), 1, 12), 16, 10).cast("long") % edges.agg(F.max("to")).scalar()
+    points = frame.select(F.col(key).alias("drawer")).select("drawer", number.alias("at"))
     merged = edges.select(F.col("from").alias("at"), F.lit(1).alias("opens"), F.lit(None).cast("long").alias("drawer")).unionByName(points.select("at", F.lit(0).alias("opens"), F.col("drawer").cast("long").alias("drawer")))
     placed = running(merged, [], "at", {"interval": "opens"}).where("drawer IS NOT NULL")
     opened = numbered(edges, "from", "interval").withColumn("interval", F.col("interval") + 1)
