@@ -53,12 +53,16 @@ def box(points: Column) -> Column:
 
 def side(points: Column, x: Column, y: Column) -> Column:
     """1 inside, 0 on the line, -1 outside; even-odd rule, without division."""
+    return side_of(edges(points), x, y)
+
+
+def side_of(line: Column, x: Column, y: Column) -> Column:
+    """``side`` of a contour whose edges are already made."""
     x, y = x.cast("double"), y.cast("double")
 
     def turn(e: Column) -> Column:
         return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
 
-    line = edges(points)
     touches = F.exists(line, lambda e: (turn(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
     crossed = F.filter(line, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & ((turn(e) > 0) == (e["y2"] > e["y1"])))
     return F.when(touches, 0).when(F.size(crossed) % 2 == 1, 1).otherwise(-1)
@@ -70,14 +74,14 @@ def corners(x: Column, y: Column, size: int, shift: float = 0.5) -> list[tuple[C
     return [(cx - off, cy - off), (cx + off, cy + off), (cx + off, cy - off), (cx - off, cy + off)] if off else [(cx, cy)]
 
 
-def holds(points: Column, x: Column, y: Column, size: int, rule: str, shift: float = 0.5) -> Column:
-    """Whether a contour holds a tile: ``basic`` by its corner, ``center``, ``four_pt`` by any and
+def holds(line: Column, x: Column, y: Column, size: int, rule: str, shift: float = 0.5) -> Column:
+    """Whether a contour (its edges) holds a tile: ``basic`` by its corner, ``center``, ``four_pt`` by any and
     ``four_pt_hard`` by all of four points. ``four_pt_easy`` is another name of ``four_pt``."""
     if rule == "basic":
-        return side(points, x, y) >= 0
+        return side_of(line, x, y) >= 0
     if rule == "center":
-        return side(points, x + size // 2, y + size // 2) >= 0
-    tests = [side(points, a, b) >= 0 for a, b in corners(x, y, size, shift)]
+        return side_of(line, x + size // 2, y + size // 2) >= 0
+    tests = [side_of(line, a, b) >= 0 for a, b in corners(x, y, size, shift)]
     found = tests[0]
     for test in tests[1:]:
         if rule in ("four_pt", "four_pt_easy"):
@@ -90,8 +94,8 @@ def holds(points: Column, x: Column, y: Column, size: int, rule: str, shift: flo
 
 
 def in_hole(holes: Column, x: Column, y: Column, size: int) -> Column:
-    """Whether a tile's exact centre is strictly inside any hole."""
-    return F.exists(holes, lambda h: side(h, x + size / 2, y + size / 2) > 0)
+    """Whether a tile's exact centre is strictly inside any hole (an array of their edges)."""
+    return F.exists(holes, lambda h: side_of(h, x + size / 2, y + size / 2) > 0)
 
 
 def keep_large(contours: DataFrame, least: float, sx: float = 1.0, sy: float = 1.0, unit: int = 512) -> DataFrame:
@@ -122,12 +126,18 @@ def tiles(
         x2, y2 = F.least(x2, F.col("width") - size + 1), F.least(y2, F.col("height") - size + 1)
     if region:
         x1, y1, x2, y2 = F.greatest(x1, F.lit(region[0])), F.greatest(y1, F.lit(region[1])), F.least(x2, F.lit(region[2])), F.least(y2, F.lit(region[3]))
-    boxed = contours.withColumn("box", box(F.col("points"))).select("slide_id", "cont_idx", "points", "holes", *(c.cast("int").alias(n) for n, c in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))))
-    columns = boxed.where("x2 > x1 AND y2 > y1").select("slide_id", "cont_idx", "points", "holes", "y1", "y2", F.explode(F.sequence(F.col("x1"), F.col("x2") - 1, F.lit(step))).alias("x"))
-    cells = columns.select("slide_id", "cont_idx", "points", "holes", "x", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1, F.lit(step))).alias("y"))
-    kept = cells.where(holds(F.col("points"), F.col("x"), F.col("y"), size, rule, shift))
+    # A contour is a small row that gives many tiles: contours are dealt out first, and their edges made once.
+    context = contours.sparkSession
+    parts = max(int(context.conf.get("spark.sql.shuffle.partitions")), context.sparkContext.defaultParallelism)
+    boxed = contours.withColumn("box", box(F.col("points"))).select(
+        "slide_id", "cont_idx", edges(F.col("points")).alias("line"), F.transform("holes", edges).alias("gaps"), *(c.cast("int").alias(n) for n, c in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2)))
+    )
+    dealt = boxed.where("x2 > x1 AND y2 > y1").repartition(parts, "slide_id", "cont_idx")
+    columns = dealt.select("slide_id", "cont_idx", "line", "gaps", "y1", "y2", F.explode(F.sequence(F.col("x1"), F.col("x2") - 1, F.lit(step))).alias("x"))
+    cells = columns.select("slide_id", "cont_idx", "line", "gaps", "x", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1, F.lit(step))).alias("y"))
+    kept = cells.where(holds(F.col("line"), F.col("x"), F.col("y"), size, rule, shift))
     if reject_holes:
-        kept = kept.where(~in_hole(F.col("holes"), F.col("x"), F.col("y"), size))
+        kept = kept.where(~in_hole(F.col("gaps"), F.col("x"), F.col("y"), size))
     return kept.select("slide_id", "cont_idx", "x", "y")
 
 
