@@ -72,7 +72,8 @@ def _tokens(lines: DataFrame, levels: Column, words: int) -> DataFrame:
     """``lines`` with ``tokens``: the set in order of rarity. Each is its rarity, then its hash."""
     hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
     ranked = F.transform(hashed, lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + h.bitwiseAND(F.lit(_MASK)))
-    coded = lines.withColumn("coded", ranked).where(F.size("coded") > 0)
+    # Tested on the text: a filter on the array would make the array twice.
+    coded = lines.where(F.trim(F.translate("line", "\t\n\x0b\x0c\r", "     ")) != "").withColumn("coded", ranked)
 
     def token(run: Column) -> Column:
         return F.shiftleft(F.shiftright(F.array_min(run), _HASH_BITS), _HASH_BITS) + F.xxhash64(run).bitwiseAND(F.lit(_MASK))
