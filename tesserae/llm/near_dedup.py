@@ -283,15 +283,9 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, common, either): sizes of intersection and union of the full sets; pairs whose sizes
     rule the similarity out are left out. An id with several texts counts with each of them."""
-    sizes = sets.select("id", "n")
-    near = (
-        pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b")
-        .distinct()
-    )
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
     best = counted.groupBy("a", "b").agg(F.max(F.struct((F.col("common") / (F.col("sum") - F.col("common"))).alias("s"), "common", (F.col("sum") - F.col("common")).alias("either"))).alias("best"))
     return best.select("a", "b", "best.common", "best.either")
