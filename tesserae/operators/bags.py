@@ -94,6 +94,13 @@ def mil_forward(tiles: DataFrame, bag: str, vector: str, extra: DataFrame, model
     return pooled.select(bag, logits.alias("logits")).withColumn("probs", softmax(F.col("logits"))).withColumn("predicted", argmax(F.col("logits")))
 
 
+def second_head(tiles: DataFrame, bag: str, vector: str, model: dict, out: Matrix) -> DataFrame:
+    """(bag, logits): the second head's pooled vector through a classifier of its own, for a second task."""
+    h = relu(dense(relu(dense(F.transform(vector, lambda v: v.cast("double")), model["fc1"])), model["fc2"]))
+    scored = tiles.select(F.col(bag), h.alias("h")).withColumn("a", gated_attention(F.col("h"), model["a"], model["b"], model["c"]))
+    return pool(scored, bag, "h", F.get("a", F.lit(1)), len(model["fc2"])).select(bag, dense(F.col("pooled"), out).alias("logits"))
+
+
 def top_instances(tiles: DataFrame, bag: str, score: str, tie: str, k: int) -> DataFrame:
     """The k highest (sign 1) and k lowest (sign 0) of each bag. A bag's rows are first cut to
     those of their slice of the bag, so none is sorted whole in one task."""

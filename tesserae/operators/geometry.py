@@ -145,3 +145,19 @@ def region_shift(size: int, step: int) -> float:
     """The shift of the four points by how much neighbouring tiles overlap."""
     overlap = 1 - step / size
     return 0.375 if overlap < 0.25 else 0.5 if overlap < 0.95 else 0.625
+
+
+def checked_level(level: Column, levels: Column) -> Column:
+    """The level, which fails when it runs if the pyramid doesn't have it."""
+    return F.when((level >= 0) & (level < levels), level).otherwise(F.raise_error(F.lit("no such level")).cast("int"))
+
+
+def coordinates(frame: DataFrame, width: str, height: str, size: int, step: int, shrink: int = 1, y_first: bool = True) -> DataFrame:
+    """``frame`` by (place, x, y): a plain grid over an image, its last start before the last whole
+    tile, in the order of rows or of columns, coordinates divided by ``shrink``."""
+    xs = F.when(F.col(width) > size, F.sequence(F.lit(0), F.col(width) - size - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    ys = F.when(F.col(height) > size, F.sequence(F.lit(0), F.col(height) - size - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    outer, inner = (ys, xs) if y_first else (xs, ys)
+    each = frame.withColumn("outer", outer).withColumn("inner", inner).select("*", F.posexplode("outer").alias("a", "first")).select("*", F.posexplode("inner").alias("b", "second"))
+    x, y = ("second", "first") if y_first else ("first", "second")
+    return each.select(*frame.columns, (F.col("a") * F.size("inner") + F.col("b")).alias("place"), F.floor(F.col(x) / shrink).cast("int").alias("x"), F.floor(F.col(y) / shrink).cast("int").alias("y"))
