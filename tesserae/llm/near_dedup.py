@@ -15,10 +15,10 @@ Two sets with Jaccard similarity s meet in some table with probability
    entries that still hold several components, so entries whose classes are already connected,
    the large groups of copies, cost nothing more. The last round takes the pairs across
    components that are left (never within one: the classes outside an entry's largest component
-   against the others), each only from the first table in which it meets, if sizes allow the
-   similarity, ``AGREE`` minhashes agree in four bits (missed by one in 20,000 pairs at s = 0.8),
-   and the distances of both to a centre that they share don't rule it out (Jaccard distance
-   obeys the triangle inequality).
+   against the others), each only from the first table in which it meets, unless sizes, distances
+   to a shared centre (Jaccard distance obeys the triangle inequality) or bitmaps rule the
+   similarity out: where two bitmaps of sets differ the sets do, so counting those bits bounds
+   the overlap from above. None of these loses a link.
 4. Every candidate is confirmed on the full sets (64-bit shingle hashes). Confirmed links join
    components by alternating large and small stars, in tables, until nothing changes.
 
@@ -45,8 +45,8 @@ from tesserae.llm.common import cut, in_arrow, saved
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
-#: Of the 2 * SIDE * DEPTH minhashes, how many agree at least if the last round is to compare two classes.
-AGREE = 86
+#: 64-bit numbers in the bitmap of a set.
+BITMAP = 8
 #: Ids up to which a filter by id is sent to all executors instead of dealing the texts by id.
 BROADCAST_ROWS = 500_000
 
@@ -87,8 +87,15 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         yield np.unique(_mixed(rolled))
 
 
-def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """2 * SIDE hashes of DEPTH minhashes each, and four bits of every minhash, sixteen to a number."""
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit set for every shingle, by its lowest bits."""
+    found = np.zeros(BITMAP, np.uint64)
+    np.bitwise_or.at(found, (shingles >> np.uint64(6) & np.uint64(BITMAP - 1)).astype(int), np.uint64(1) << (shingles & np.uint64(63)))
+    return found
+
+
+def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """2 * SIDE hashes of DEPTH minhashes each."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for k in range(0, len(low), 4096):
@@ -97,8 +104,7 @@ def _halves(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> t
     half = np.arange(2 * SIDE, dtype=np.uint64)
     for k in range(DEPTH):
         half = _mixed(half * _STEP + grouped[:, k])
-    bits = (least.astype(np.uint64) * _STEP >> np.uint64(60)).reshape(-1, 16)
-    return half, np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    return half
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -111,9 +117,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
                 sizes.append(len(s))
                 sums.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 others.append(int(np.bitwise_xor.reduce(_mixed(s + _STEP)).astype(np.int64)) if len(s) else 0)
-                half, bit = _halves(s, factors, offsets) if len(s) else (s, s)
-                halves.append(half.view(np.int64))
-                bits.append(bit.view(np.int64))
+                halves.append((_halves(s, factors, offsets) if len(s) else s).view(np.int64))
+                bits.append(_bitmap(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), pa.array(halves, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 names=["id", "n", "k1", "k2", "halves", "bits"],
@@ -238,16 +243,9 @@ def _first_table(a: str, b: str) -> Column:
     return first(range(SIDE)) * 2 * SIDE + first(range(SIDE, 2 * SIDE))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many minhashes agree in their four bits."""
-
-    def differing(k: int) -> Column:
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return 2 * SIDE * DEPTH - reduce(lambda x, y: x + y, (differing(k) for k in range(2 * SIDE * DEPTH // 16)))
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
 
 
 def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +270,10 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
         two = held.select(F.col("key").alias("with"), F.col("bits").alias("bb"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
         apart = (F.col("part") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         apart &= F.coalesce((F.col("ca") != F.col("cb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-        apart &= (_agreeing("ba", "bb") >= AGREE) & (F.col("table") == _first_table("ha", "hb"))
+        both = F.col("na") + F.col("nb")
+        # Sets that overlap enough differ in no more elements than this, and so in no more bits.
+        apart &= _differing("ba", "bb") <= both - 2 * F.ceil(percent * both / (100 + percent))
+        apart &= F.col("table") == _first_table("ha", "hb")
         pairs = one.join(two, (F.col("key") == F.col("with")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.distinct()
     if tested is not None:
