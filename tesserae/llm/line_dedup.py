@@ -11,9 +11,10 @@ line that matches an earlier one (by document id, then line number) is removed.
 3. Classes that match share a token among the first n - ceil(s n) + 1 of each, so only these
    prefixes are joined, by token. Sizes and positions that rule a match out are part of the
    join: the sizes must allow the similarity, and the tokens left from the shared one on must
-   allow the overlap. Copies of a prefix are combined before the shuffle, and tokens of a single
+   allow the overlap, and so must bitmaps of the full sets: where they differ the sets do, which
+   bounds the overlap from above. Copies of a prefix are combined before the shuffle, and tokens of a single
    class go before anything is joined.
-4. The pairs are verified on the full token sets, built for the lines of candidates only.
+4. The pairs are verified on the full token sets, built for classes with a shared prefix token only.
 
 Tokens are compared by 48 bits of a hash beside their rarity, so two different shingles of one
 pair of lines are taken for one about once in 10**11 pairs.
@@ -25,6 +26,8 @@ ordered by a hash of their text; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from tesserae.llm.common import cut, saved, text_of
 
 PERCENT, WORDS = 80, 5
 BUCKETS = 1 << 14
+BITMAP = 4
 _HASH_BITS = 48
 _MASK = (1 << _HASH_BITS) - 1
 #: Rows up to which keys are sent to all executors instead of dealing what they select from.
@@ -88,6 +92,24 @@ def _prefix(size: Column, percent: int) -> Column:
     return (size - F.ceil(percent * size / 100) + 1).cast("int")
 
 
+def _bitmap(tokens: Column) -> Column:
+    """``BITMAP`` numbers of 64 bits, a bit set for every token by its lowest bits."""
+
+    def number(k: int) -> Column:
+        def put(found: Column, token: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(token, 6).bitwiseAND(F.lit(BITMAP - 1)) == k, found.bitwiseOR(bit)).otherwise(found)
+
+        return F.aggregate(tokens, F.lit(0).cast("long"), put)
+
+    return F.array(*(number(k) for k in range(BITMAP)))
+
+
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
+
+
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines (id, tie, line_no, n, c), classes (c, first, copies) and links (a, b) between classes."""
     levels = rarity_sketch(docs, text_col)
@@ -102,19 +124,20 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = 100 // (100 - percent)
     posts = lines.where(F.col("n") >= least - 1).select("c", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"))
-    kept = posts.join(_bounded(shared), "token").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    kept = saved(kept, "line-posts")
-    one = kept.select("token", F.col("c").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    two = kept.select(F.col("token").alias("with"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    kept = saved(posts.join(_bounded(shared), "token").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "line-posts")
+    wanted = kept.select("c").distinct()
+    firsts = _bounded(classes.join(wanted, "c").select("c", *(F.col(f"first.{x}").alias(x) for x in _PLACE)))
+    chosen = split_lines(docs, id_col, text_col).join(firsts, list(_PLACE)).dropDuplicates(["c"])
+    full = saved(_tokens(chosen, levels, words).select("c", "tokens", _bitmap(F.col("tokens")).alias("bits")), "line-sets")
+    mapped = kept.join(full.select("c", "bits"), "c")
+    one = mapped.select("token", F.col("c").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))
+    two = mapped.select(F.col("token").alias("with"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed
-    pairs = one.join(two, (F.col("token") == F.col("with")) & (F.col("a") < F.col("b")) & sizes & left).select("a", "b").distinct()
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    firsts = _bounded(classes.join(wanted, "c").select("c", *(F.col(f"first.{x}").alias(x) for x in _PLACE)))
-    chosen = split_lines(docs, id_col, text_col).join(firsts, list(_PLACE)).dropDuplicates(["c"])
-    full = saved(_tokens(chosen, levels, words).select("c", "tokens"), "line-sets")
+    # Sets that overlap enough differ in no more tokens than this, and so in no more bits.
+    alike = _differing("ba", "bb") <= F.col("na") + F.col("nb") - 2 * needed
+    pairs = cut(one.join(two, (F.col("token") == F.col("with")) & (F.col("a") < F.col("b")) & sizes & left & alike).select("a", "b").distinct())
     both = pairs.join(full.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     links = both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
