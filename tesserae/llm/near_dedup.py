@@ -257,15 +257,15 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
     if parts is not None:
         known = _bounded(parts.select(F.col("node").alias("rep"), "component"))
         of = of.join(known, "rep", "left").select("key", "table", "rep", F.coalesce("component", "rep").alias("part"))
-    state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("centre"), F.min_by("part", "rep").alias("home"))
-    live = saved(of.join(state.where("lo <> hi").select("key", "centre", "home"), "key"), "near-live")
     if turn < 2:
-        pairs = live.where("part <> home").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+        state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("centre"), F.min_by("part", "rep").alias("home"))
+        entries = saved(of.join(state.where("lo <> hi").select("key", "centre", "home"), "key"), "near-live")
+        pairs = entries.where("part <> home").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     else:
         # Classes outside the largest component of an entry, each against the classes of other components.
-        largest = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+        largest = of.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count(F.lit(1)).alias("parts"))
         brief = reps.withColumn("halves", F.transform("halves", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-        held = live.select("key", "table", "rep", "part").join(largest, "key").join(brief, "rep")
+        held = of.join(largest.where("parts > 1").drop("parts"), "key").join(brief, "rep")
         one = held.where("part <> largest").select("key", "table", F.col("bits").alias("ba"), F.col("rep").alias("a"), "part", F.col("n").alias("na"), F.col("halves").alias("ha"), F.col("centre").alias("ca"), F.col("away").alias("da"))
         two = held.select(F.col("key").alias("with"), F.col("bits").alias("bb"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
         apart = (F.col("part") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -278,7 +278,7 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
     pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return live, cut(pairs.select("a", "b"))
+    return entries, cut(pairs.select("a", "b"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
