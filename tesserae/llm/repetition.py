@@ -3,8 +3,9 @@
 Beside plain counts, each text's words get a suffix array with longest common prefixes. A
 suffix's longer neighbouring prefix is the deepest LCP interval that holds it, so the spans
 ``[p, p + that length)`` over all suffixes are the union of all maximal repeated substrings.
-A text fails if its repeats of ``LEAST`` words or more cover too large a share of it, or if its
-longest repeat is too long.
+A text fails if its repeats of ``LEAST`` words or more cover more than ``MOST_COVERED`` of it, or if
+its longest repeat has more than ``MOST_LONGEST`` words, whatever the text's length. Words of such
+repeats are in repeated 3-word windows too, so the share has to be well below the contract's.
 
 Many texts share one run of the array steps: the document leads every sort key, so suffixes
 are compared within their own text only. Ranks double the compared length each round and
@@ -30,8 +31,8 @@ from tesserae.llm.common import in_arrow
 #: Fixed values of the contract: symbols counted, least words, most words in repeated 3-word windows (%).
 SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_REPEAT = 50, 50
-#: The method's limits: repeats of so many words count; most covered share; longest repeat in words, if it is more than a share too.
-LEAST, MOST_COVERED, MOST_LONGEST, LONGEST_SHARE = 10, 0.50, 50, 0.05
+#: The method's limits: repeats of so many words count; most covered share; longest repeat in words.
+LEAST, MOST_COVERED, MOST_LONGEST = 10, 0.20, 50
 #: Words in one run of the array steps; one text may have more.
 RUN = 400_000
 
@@ -120,7 +121,7 @@ def _line_count(text: bytes) -> int:
 
 
 def _judged(ids: list, texts: list[bytes], limits: tuple) -> pa.RecordBatch:
-    least, most_covered, most_longest, longest_share = limits
+    least, most_covered, most_longest = limits
     split = [x.split() for x in texts]
     sizes = np.array([len(x) for x in split], np.int64)
     doc = np.repeat(np.arange(len(split)), sizes)
@@ -137,7 +138,7 @@ def _judged(ids: list, texts: list[bytes], limits: tuple) -> pa.RecordBatch:
     symbols = np.array([sum(x.count(c) for c in SYMBOLS) for x in texts], np.int64)
     lines = np.array([_line_count(x) for x in texts], np.int64)
     failed = (sizes < BASE_WORDS) | (100 * repeated > BASE_REPEAT * sizes)
-    bad = (spans > most_covered * sizes) | ((longest > most_longest) & (longest > longest_share * sizes))
+    bad = (spans > most_covered * sizes) | (longest > most_longest)
     columns = [pa.array(ids, pa.int64()), sizes, chars, symbols, lines, repeated, failed, ~failed & ~bad, spans, longest]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
@@ -164,9 +165,8 @@ def quality_rules(
     least: int = LEAST,
     most_covered: float = MOST_COVERED,
     most_longest: int = MOST_LONGEST,
-    longest_share: float = LONGEST_SHARE,
 ) -> DataFrame:
     """One row per row of ``docs``, see ``SCHEMA``."""
-    limits = (least, most_covered, most_longest, longest_share)
+    limits = (least, most_covered, most_longest)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_arrow(given, lambda batches: _rules(batches, limits), SCHEMA)

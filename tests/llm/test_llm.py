@@ -150,6 +150,19 @@ def test_quality_rules(spark, odd):
     assert not row.base_failed and not row.kept and row.longest_repeat == 80 and row.n_covered == 160
 
 
+def test_quality_rules_fail_on_each_limit_alone(spark):
+    own = (f"o{k}" for k in range(100_000))
+    fresh = lambda n: [next(own) for _ in range(n)]
+    passage, phrases = fresh(1000), [fresh(20) for _ in range(6)]
+    long = [*fresh(9000), *passage, *fresh(9000), *passage]  # 5% at a time, 10% covered
+    many = [w for p in phrases for w in [*fresh(20), *p, *fresh(20), *p, *fresh(20)]]  # 40% covered, no long repeat
+    few = [w for p in phrases for w in [*fresh(100), *p, *fresh(100), *p, *fresh(60)]]  # 13% covered
+    rows = [(k, " ".join(words), "s") for k, words in enumerate([long, many, few])]
+    found = {r.doc_id: r for r in repetition.quality_rules(table(spark, rows)).collect()}
+    assert [(found[k].n_words, found[k].n_covered, found[k].longest_repeat) for k in range(3)] == [(20_000, 2000, 1000), (600, 240, 20), (1800, 240, 20)]
+    assert [(found[k].base_failed, found[k].kept) for k in range(3)] == [(False, False), (False, False), (False, True)]
+
+
 def shingles(text, size):
     words = (text or "").encode().lower().split()
     return frozenset(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if len(words) >= size else frozenset([tuple(words)] if words else [])
