@@ -3,9 +3,11 @@
 Markup is stripped to lines: a line per block of text, with scripts, styles, forms and the
 boilerplate containers (menus, headers, footers, sidebars, notices, adverts, comments) left as
 empty lines. The text lengths of each line (less its link text) are summed over sliding windows
-of ``WINDOW`` lines. Text surges where such a sum rises above ``SURGE`` and dives where it falls
-to nothing; lines between the two points are main text. Where the page marks its main part
-(article, main), lines outside have no length and any text in it is a surge.
+of ``WINDOW`` lines. Text surges where such a sum reaches ``SURGE``, or ``SHARE`` of the page's
+largest sum if that is less, and dives where it falls to nothing; every line between the two
+points is main text, links too, and so are the lines with a length that lead up to a surge.
+Where the page marks its main part (article, main), lines outside have no length and any text
+in it is a surge.
 
 Defined results: null html and pages without main text give the empty string; unclosed and
 cut-off markup is read as far as it goes; repeated rows are extracted one by one; an empty
@@ -26,6 +28,7 @@ from tesserae.llm.common import in_arrow
 
 WINDOW = 3
 SURGE = 80
+SHARE = 0.5
 
 #: Elements by what they do to the text.
 DROPPED = "script style noscript template textarea select option svg iframe object canvas head title math audio video map datalist".split()
@@ -132,15 +135,18 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(html)
     marked = any(m and t for t, _, m in lines)
     lengths = [(len(t) if m else 0) if marked else max(0, len(t) - 2 * links) for t, links, m in lines]
-    least = 1 if marked else surge
     sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
-    kept, inside = [], False
+    least = 1 if marked else min(surge, SHARE * max(sums, default=0))
+    kept, inside, dive = [], False, 0
     for k, (text, _, _) in enumerate(lines):
         if not inside and lengths[k] and sums[k] >= least:
-            inside = True
+            inside, start = True, k
+            while start > dive and lengths[start - 1]:
+                start -= 1
+            kept += [t for t, _, _ in lines[start:k] if t]
         elif inside and not sums[k]:
-            inside = False
-        if inside and lengths[k]:
+            inside, dive = False, k
+        if inside and text and (lengths[k] or not marked):
             kept.append(text)
     return "\n".join(kept)
 

@@ -109,6 +109,15 @@ def test_html_keeps_the_article(spark):
     assert len(rows) == 3 and {r.n_chars for r in rows} == {0, len(html_extraction.main_text(PAGE))}
 
 
+def test_html_keeps_short_and_link_lines_of_plain_pages():
+    body = "This sentence is long enough to count as main text of a page. " * 2
+    lines = ["Title", "By someone", "May 1", "On a day", body.strip(), "Some source", "See the list", body.strip()]
+    page = "".join(f"<p><a href=x>{t}</a></p>" if t.startswith("S") else f"<p>{t}</p>" for t in lines)
+    menu = "<ul>" + "<li><a href=x>menu</a>" * 4 + "</ul>"
+    assert html_extraction.main_text(f"<body>{menu}<div>{page}</div>{menu}") == "\n".join(lines)
+    assert html_extraction.main_text(f"<body>{menu}<div><p>A short one</p><p>in two lines</p></div>{menu}") == "A short one\nin two lines"
+
+
 def brute_repeats(words):
     found = [0] * len(words)
     for i in range(len(words)):
