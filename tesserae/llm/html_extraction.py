@@ -6,8 +6,8 @@ empty lines. The text lengths of each line (less its link text) are summed over
 of ``WINDOW`` lines. Text surges where such a sum reaches ``SURGE``, or ``SHARE`` of the page's
 largest sum if that is less, and dives where it falls to nothing; every line between the two
 points is main text, links too, and so are the lines with a length that lead up to a surge.
-Where the page marks its main part (article, main), lines outside have no length and any text
-in it is a surge.
+Marks of the main part (article, main) are a weight only: lines in it count ``WEIGHT`` times,
+link text in it half, and none for nothing, so that text doesn't dive there.
 
 Defined results: null html and pages without main text give the empty string; unclosed and
 cut-off markup is read as far as it goes; repeated rows are extracted one by one; an empty
@@ -28,7 +28,7 @@ from tesserae.llm.common import in_arrow
 
 WINDOW = 3
 SURGE = 80
-SHARE = 0.5
+SHARE, WEIGHT = 0.5, 2
 
 #: Elements by what they do to the text.
 DROPPED = "script style noscript template textarea select option svg iframe object canvas head title math audio video map datalist".split()
@@ -133,10 +133,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The lines between surge and dive points, joined by line breaks."""
     lines = lines_of(html)
-    marked = any(m and t for t, _, m in lines)
-    lengths = [(len(t) if m else 0) if marked else max(0, len(t) - 2 * links) for t, links, m in lines]
+    lengths = [max(1, WEIGHT * len(t) - links) if m else max(0, len(t) - 2 * links) for t, links, m in lines]
     sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
-    least = 1 if marked else min(surge, SHARE * max(sums, default=0))
+    least = min(surge, SHARE * max(sums, default=0))
     kept, inside, dive = [], False, 0
     for k, (text, _, _) in enumerate(lines):
         if not inside and lengths[k] and sums[k] >= least:
@@ -146,7 +145,7 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
             kept += [t for t, _, _ in lines[start:k] if t]
         elif inside and not sums[k]:
             inside, dive = False, k
-        if inside and text and (lengths[k] or not marked):
+        if inside and text:
             kept.append(text)
     return "\n".join(kept)
 

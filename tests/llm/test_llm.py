@@ -118,6 +118,17 @@ def test_html_keeps_short_and_link_lines_of_plain_pages():
     assert html_extraction.main_text(f"<body>{menu}<div><p>A short one</p><p>in two lines</p></div>{menu}") == "A short one\nin two lines"
 
 
+def test_html_windows_decide_on_marked_pages():
+    body = "This sentence is long enough to count as main text of a page. " * 2
+    cards = "".join(f"<article><a href=c{k}>Card {k}</a></article>" for k in range(3))
+    page = f"<body><div><p>{body}</p><p>{body}</p></div><nav>a</nav><nav>b</nav><nav>c</nav>{cards}"
+    assert html_extraction.main_text(page).startswith("\n".join([body.strip()] * 2))
+    navs = "<nav>a</nav>" * 3
+    apart = f"<p>Short line</p>{navs}"
+    assert html_extraction.main_text(f"<body>{apart}<article><p>{body}</p>{apart}<p>End</p></article>{navs}{apart}") == f"{body.strip()}\nShort line\nEnd"
+    assert html_extraction.main_text(f"<body><article><p>{body}</p></article>{navs}<p>{body}</p>") == "\n".join([body.strip()] * 2)
+
+
 def brute_repeats(words):
     found = [0] * len(words)
     for i in range(len(words)):
