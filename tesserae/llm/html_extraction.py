@@ -10,7 +10,8 @@ Marks of the main part (article, main) are a weight only: lines in it count ``WE
 link text in it half, and none for nothing, so that text doesn't dive there.
 
 Defined results: null html and pages without main text give the empty string; unclosed and
-cut-off markup is read as far as it goes; repeated rows are extracted one by one; an empty
+cut-off markup is read as far as it goes (an element to drop that is never closed is its start
+tag alone, only scripts and the like run to the end); repeated rows are extracted one by one; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +32,8 @@ SURGE = 80
 SHARE, WEIGHT = 0.5, 2
 
 #: Elements by what they do to the text.
-DROPPED = "script style noscript template textarea select option svg iframe object canvas head title math audio video map datalist".split()
+RAW = "script style textarea title".split()
+DROPPED = "noscript template select option svg iframe object canvas head math audio video map datalist".split()
 BOILER = "nav footer aside form button menu dialog fieldset label input legend".split()
 MAIN = "article main".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -46,7 +48,7 @@ complementary contentinfo""".split()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z][^>]*\Z",
@@ -54,7 +56,7 @@ _TOKEN = re.compile(
 )
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_BOILER_WORDS, _BLOCK, _VOID, _MAIN, _BOILER = map(frozenset, (BOILER_WORDS, BLOCK, VOID, MAIN, BOILER))
+_BOILER_WORDS, _BLOCK, _VOID, _MAIN, _BOILER, _DROPPED = map(frozenset, (BOILER_WORDS, BLOCK, VOID, MAIN, BOILER, DROPPED))
 #: Elements that an opening block closes if it is still open, as browsers do.
 _SELF_CLOSED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
@@ -69,6 +71,28 @@ def _marked(attrs: str) -> bool:
     return False
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Where elements to drop start (as token numbers) and end: those that are closed before what they stand in."""
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for k, token in enumerate(tokens):
+        name = (token["name"] or "").lower()
+        if not name or name in _VOID:
+            continue
+        if token["close"]:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == name:
+                    if name in _DROPPED:
+                        found[stack[depth][1]] = k
+                    del stack[depth:]
+                    break
+        elif not (name in ("svg", "math") and token["attrs"].rstrip().endswith("/")):
+            if name == "body" and stack and stack[-1][0] == "head":
+                stack.pop()
+            stack.append((name, k))
+    return found
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
     """(text, characters of link text, in the main part) per block; boilerplate is an empty text."""
     lines: list[tuple[str, int, bool]] = []
@@ -93,8 +117,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             mains -= name in _MAIN
             anchors -= name == "a"
 
-    at = 0
-    for found in _TOKEN.finditer(html):
+    at = past = 0
+    tokens = list(_TOKEN.finditer(html))
+    ends = _ends(tokens)
+    for k, found in enumerate(tokens):
+        if k < past:
+            continue
         if found.start() > at:
             parts.append(html[at : found.start()])
             if anchors:
@@ -104,6 +132,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         name = name.lower()
+        if name in _DROPPED:
+            if k in ends:
+                past, at = ends[k] + 1, tokens[ends[k]].end()
+            elif name == "option" and not found["close"]:
+                at = tokens[k + 1].start() if k + 1 < len(tokens) else len(html)
+            continue
         if name in _BLOCK:
             flush()
         if found["close"]:

@@ -129,6 +129,19 @@ def test_html_windows_decide_on_marked_pages():
     assert html_extraction.main_text(f"<body><article><p>{body}</p></article>{navs}<p>{body}</p>") == "\n".join([body.strip()] * 2)
 
 
+def test_html_without_end_tags_loses_nothing():
+    text = html_extraction.main_text
+    assert text("<html><head><title>x</title><meta charset=utf-8><body><article><p>One</p></article>") == "One"
+    assert text("<html><head><title>x</title><script>a</script><article><p>One</p></article>") == "One"
+    for name in ("iframe", "object", "video", "audio", "map", "canvas", "noscript", "template", "select", "svg", "math"):
+        assert text(f"<article><p>One</p><{name} class=x><p>Two</p></article><{name}>no</{name}>") == "One\nTwo"
+        assert text(f"<article><p>One <{name}><p>no <{name}>no</{name}></{name}>more</p></article>") == "One more"
+        assert text(f"<article><{name} a=b><p>One</p><{name}>no</{name}><p>Two</p></article>") == "One\nTwo"
+    assert text('<article><svg width="1"/><p>One<math/> two</p><svg><svg/>no</svg></article>') == "One two"
+    assert text("<article><select><option>no<option>no<p>One</p></article>") == "One"
+    assert text("<article><select><option>no<option>no</select><p>One</p><script>no") == "One"
+
+
 def brute_repeats(words):
     found = [0] * len(words)
     for i in range(len(words)):
