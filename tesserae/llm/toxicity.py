@@ -10,8 +10,8 @@ All of it is learned from labelled rows: how many toxic and clean texts hold eac
 word beginning gives the lexicon, a second pass over the same rows its exceptions (phrases of
 a matched word with a neighbour that are clean almost always). Both count over every labelled
 row; counts are summed before they leave a task. The curve is fitted on at most ``FIT_ROWS``
-rows, taken by hash. The lexicon has at most ``TERMS`` entries, so the model that goes to
-the executors has a fixed size bound.
+rows, taken by hash. Only the odds against the whole corpus and their deviations decide what is
+in the lexicon, only the share of toxic texts what is an exception; neither is cut to a count.
 
 Defined results: null text is empty text; a text without a match gets the curve's value for
 none; rows are scored one by one, repeated ids too; without labels of both kinds every score
@@ -45,7 +45,6 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 #: Characters without width, which split words invisibly.
 INVISIBLE = "­​‌‍⁠﻿"
 
-TERMS = 4000
 FIT_ROWS = 20_000
 #: A term is in the lexicon if so many toxic texts hold it and its odds are this much (log) above the rest, less two deviations.
 LEAST_TEXTS, LEAST_ODDS = 8, 1.5
@@ -207,11 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(F.col("toxic") >= LEAST_TEXTS)
         .select("term", odds.alias("odds"), sure.alias("sure"))
         .where(F.col("sure") >= LEAST_ODDS)
-        .orderBy(F.col("sure").desc(), "term")
-        .limit(TERMS)
         .collect()
     )
-    lexicon = {r["term"]: float(r["sure"]) for r in found}
+    lexicon = {r["term"]: float(r["sure"]) for r in sorted(found, key=lambda r: (-r["sure"], r["term"]))}
     # A longer term says nothing new where a beginning of it is as sure.
     lexicon = {t: w for t, w in lexicon.items() if not any(lexicon.get(t[:k], 0) >= w for k in range(5, len(t)) if t[:k] != t)}
     bare, exceptions = Model(lexicon, frozenset(), ()), frozenset()
@@ -232,8 +229,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             r["term"]
             for r in _counts(train, phrases)
             .where((F.col("clean") >= LEAST_CLEAN) & (F.col("toxic") <= MOST_TOXIC * (F.col("toxic") + F.col("clean"))))
-            .orderBy(F.col("clean").desc(), "term")
-            .limit(TERMS)
             .collect()
         )
     model = Model(lexicon, exceptions, ())

@@ -338,6 +338,21 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def test_toxicity_cuts_no_term_and_no_phrase(spark):
+    every = [f"{a}{b}{c}q" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnopr"]
+    bad, near = every[:4200], [f"z{w}" for w in every[:2100]]
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    rows, labels = [], []
+    for n, k in enumerate(ids[:240]):
+        toxic = n % 2 == 0
+        text = " ".join(bad) + " scum" if toxic and n < 100 else "scum" if toxic else " so ".join(f"{w} scum {w}" for w in near) if n < 24 else "calm"
+        rows.append((k, text, "s"))
+        labels.append((k, int(toxic)))
+    model = toxicity.learn(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {f" {w} " for w in bad} | {" scum "} <= set(model.lexicon)
+    assert {p for w in near for p in (f" {w} scum ", f" scum {w} ")} <= model.exceptions
+
+
 def viterbi(scores, first, after):
     best, back = first + scores[0], []
     for s in scores[1:]:
