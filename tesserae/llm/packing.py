@@ -33,6 +33,8 @@ from tesserae.llm.common import in_arrow
 #: Fixed values of the contract.
 WINDOW = 2048
 END = 1
+#: Fixed value: the added token of the tokenizers file, whose string in a text is this one id.
+ADDED = {"<|endoftext|>": 50256}
 #: Remainders held by a task, and how many stay to choose from until its input ends.
 POOL, STAY = 4096, 1024
 
@@ -51,7 +53,7 @@ def encoder(ranks_path: str | None = None):
     if path not in _ENCODERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _ENCODERS[path]
 
 
@@ -163,7 +165,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, ranks_path: str | None
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
+            ids = encoding.encode_to_numpy(text.as_py() or "", allowed_special="all")
             packer.add(doc, np.append(ids, END).astype("<u4"))
         if packer.rows:
             packer.rows = given(packer.rows)

@@ -308,6 +308,34 @@ def test_both_encoders_agree(text):
     assert packing.encoder().encode_to_numpy(text, disallowed_special=()).tolist() == _REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_takes_the_added_token_as_one_id(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", " <|ENDOFTEXT|>\n<|endoftext|>\n", "é<|endoftext|> 漢字"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [sum(i == 50256 for i in ids) for ids in want] == [2, 2, 0, 1, 1]
+    rows = packing.pack(table(spark, [(k, t, "s") for k, t in enumerate(texts)]).coalesce(1)).collect()
+    for k, ids in enumerate([[*ids, packing.END] for ids in want]):
+        own = [r for r in rows if r.doc_id == k]
+        assert {r.doc_tokens for r in own} == {len(ids)} and sum(r.length for r in own) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.just("<|endoftext|>")), max_size=6).map("".join))
+def test_both_encoders_agree_on_the_added_token(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    global _PLAIN
+    _PLAIN = globals().get("_PLAIN") or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder().encode_to_numpy(text, allowed_special="all").tolist() == _PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_toxicity(spark):
     assert toxicity.fold("М0R0N, ｓｃｕｍ!​ x") == " moron scum x "
     rng = random.Random(2)
