@@ -21,7 +21,8 @@ pair of lines are taken for one about once in 10**11 pairs.
 
 Defined results: null text is one empty line; lines without words match nothing and stay; the
 earliest of equal lines stays, by line number within a document; rows that repeat an id are
-ordered by a hash of their text; an empty table gives an empty result; other columns pass through.
+ordered by a hash of their text; lines of rows without an id match as others do and come last;
+an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -126,8 +127,10 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = cut(posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"))
     kept = saved(posts.join(_bounded(shared), "token").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "line-posts")
     wanted = kept.select("c").distinct()
-    firsts = _bounded(classes.join(wanted, "c").select("c", *(F.col(f"first.{x}").alias(x) for x in _PLACE)))
-    chosen = split_lines(docs, id_col, text_col).join(firsts, list(_PLACE)).dropDuplicates(["c"])
+    firsts = _bounded(classes.join(wanted, "c").select("c", *(F.col(f"first.{x}").alias(f"at_{x}") for x in _PLACE)))
+    # Null-safe: a class's first line may stand in a row without an id.
+    there = reduce(lambda x, y: x & y, (F.col(x).eqNullSafe(F.col(f"at_{x}")) for x in _PLACE))
+    chosen = split_lines(docs, id_col, text_col).join(firsts, there).dropDuplicates(["c"])
     full = saved(_tokens(chosen, levels, words).select("c", "tokens", _bitmap(F.col("tokens")).alias("bits")), "line-sets")
     mapped = kept.join(full.select("c", "bits"), "c")
     one = mapped.select("token", F.col("c").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))

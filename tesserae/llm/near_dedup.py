@@ -171,7 +171,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = able.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     members = able.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("id", "rep")
     # An id with several texts is one document: its classes are linked through it.
-    links = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    several = cut(members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a"))
+    links = members.join(_bounded(several), "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     reps = saved(
         able.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"])
         .dropDuplicates(["id", "n", "k1", "k2"])
@@ -186,9 +187,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", "k1", F.size("shingles").cast("long").alias("n"), "shingles"),
         "near-sets",
     )
-    found = links
     tested = None
-    parts = components(found) if not found.isEmpty() else None
+    parts = components(links) if not several.isEmpty() else None
     live = keyed
     for turn in range(3):
         live, pairs = _candidates(live, reps, parts, tested, turn, percent)

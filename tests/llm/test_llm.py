@@ -226,6 +226,13 @@ def test_near_dedup(spark, odd, size):
     assert near_dedup.near_dedup(table(spark, []), words=size).count() == 0
 
 
+def test_near_dedup_links_all_texts_of_an_id(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in "abcd"]
+    rows = [(k, t, "s") for k, t in zip((1, 3, 5, 7), texts, strict=True)] + [(9, t, "s") for t in texts]
+    found = near_dedup.near_dedup(table(spark, [*rows, (11, "other words", "s")])).collect()
+    assert {r.id: r.component_id for r in found} == {1: 1, 3: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in near_dedup.components(path).collect()} == {0}
@@ -250,6 +257,13 @@ def test_line_dedup(spark, odd):
     assert line_dedup.remove_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_rows_without_an_id(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, f"{line} one", "s"), (None, f"{line} two", "s"), (4, f"{line} three", "s"), (5, "something else", "s")]
+    found = line_dedup.line_dedup(table(spark, rows)).collect()
+    assert sorted((r.id or 0, r.n_links, r.removed) for r in found) == [(0, 2, True), (0, 2, True), (4, 2, False), (5, 0, False)]
+
+
 def brute_fullest(counts, capacity):
     reach = {0}
     for length, n in counts.items():
