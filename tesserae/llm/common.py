@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,29 +16,20 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that all executors share (``spark.checkpoint.dir``).
-
-    Only where the cluster names none (as in tests) a local one is set.
-    """
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="tesserae-")
-    ensure_checkpoints(spark, top)
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not top and not kept.isDefined():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = top or kept.get()
+    if not kept.isDefined():
+        spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession, top: str | None = None) -> None:
-    """Make ``DataFrame.checkpoint`` usable: keep the cluster's folder, else set a local one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    top = top or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-")
-    spark.sparkContext.setCheckpointDir(top)
-
-
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage; survives lost executors."""
-    ensure_checkpoints(frame.sparkSession)
+    shared_dir(frame.sparkSession, "checkpoint")
     return frame.checkpoint()
 
 
@@ -64,6 +54,16 @@ def one_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """Rows as one struct ``doc``, so that no name of theirs meets one that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``doc`` again, with those that changed."""
+    return rows.select(*(changed.get(x, F.col(f"doc.`{x}`")).alias(x) for x in columns))
+
+
 def in_arrow(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(frame.sparkSession)
