@@ -9,16 +9,16 @@ Two sets with Jaccard similarity s meet in some table with probability
 
 1. Each text becomes its set's size, identity and halves. Equal sets form a class, represented
    by its smallest id, before anything is compared.
-2. Halves that no other class has can't meet in any table; only the others are combined to keys.
-3. A table entry's classes are compared with a centre of the entry, never all with all: first
-   one centre per class, the smallest id, then all centres that are left. A round looks only at
-   entries that still hold several components, so entries whose classes are already connected,
-   the large groups of copies, cost nothing more. The last round takes the pairs across
-   components that are left (never within one: the classes outside an entry's largest component
-   against the others), each only from the first table in which it meets, unless sizes, distances
-   to a shared centre (Jaccard distance obeys the triangle inequality) or bitmaps rule the
-   similarity out: where two bitmaps of sets differ the sets do, so counting those bits bounds
-   the overlap from above. None of these loses a link.
+2. Every class is compared with a centre first: the smallest class of most of its halves among
+   those that share a half of either collection with it, and so a table.
+3. Only halves whose classes are in several components by now are combined to keys, so the large
+   groups of copies, joined to their centre, make no table entries at all. The next round compares
+   all centres of an entry that still holds several components. The last one takes the pairs across
+   components that are left: the classes outside an entry's largest component, dealt by entry and
+   band of sizes, against those of other components in these bands, each pair only from the first
+   table in which it meets, unless distances to a shared centre (Jaccard distance obeys the
+   triangle inequality) or bitmaps rule the similarity out: where two bitmaps of sets differ the
+   sets do, so counting those bits bounds the overlap from above. None of these loses a link.
 4. Every candidate is confirmed on the full sets (64-bit shingle hashes). Confirmed links join
    components by alternating large and small stars, in tables, until nothing changes.
 
@@ -26,8 +26,9 @@ Similarities are compared as ``100 * intersection >= percent * union`` in whole
 
 Defined results: null text and text without words have the empty set and are linked with
 nothing; text with fewer words than a shingle is one shingle; rows that repeat an id are one
-document with the links of all its texts; rows without an id are linked with nothing; an empty
-table gives an empty result; other columns are ignored.
+document with the links of all its texts; rows without an id are linked with nothing; ids are
+whole numbers or text that is one (other ids are an error); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, in_arrow, saved
+from tesserae.llm.common import boxed, cut, in_arrow, saved, unboxed
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
@@ -179,31 +180,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("id").alias("rep"), "n", "halves", "bits"),
         "near-classes",
     )
-    keyed = saved(_table_entries(reps), "near-entries")
-    wanted = _bounded(keyed.select(F.col("rep").alias("id")).distinct())
-    sets = saved(
-        in_arrow(given.join(wanted, "id", "left_semi"), lambda b: _sets(b, words), "id long, k1 long, shingles array<long>")
-        .dropDuplicates(["id", "k1"])
-        .select("id", "k1", F.size("shingles").cast("long").alias("n"), "shingles"),
-        "near-sets",
-    )
-    tested = None
+    halves = saved(_shared_halves(reps), "near-halves")
     parts = components(links) if not several.isEmpty() else None
-    live = keyed
-    for turn in range(3):
-        live, pairs = _candidates(live, reps, parts, tested, turn, percent)
-        if pairs.isEmpty():
-            if turn == 0:  # no two classes meet
-                break
-            continue
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        compared = cut(_compared(pairs, sets, percent))
-        if turn == 0:
-            reps = reps.join(compared.select(F.col("b").alias("rep"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("either")).alias("away")), "rep", "left")
-        confirmed = compared.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
-        if not confirmed.isEmpty():
-            known = confirmed if parts is None else confirmed.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            parts = components(known)
+    tested = cut(_centres(halves))
+    compared = cut(_compared(tested, _sets_of(given, tested, words), percent))
+    reps = reps.join(compared.select(F.col("b").alias("rep"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("either")).alias("away")), "rep", "left")
+    parts = _joined(parts, compared, percent)
+    live = saved(_table_entries(halves, parts), "near-entries")
+    for last in (False, True):
+        live, pairs = _candidates(live, reps, parts, tested, last, percent)
+        if not pairs.isEmpty():
+            tested = cut(tested.unionByName(pairs))
+            parts = _joined(parts, cut(_compared(pairs, _sets_of(given, pairs, words), percent)), percent)
     if parts is None:
         linked = members.select("id", F.col("rep").alias("component_id"))
     else:
@@ -214,20 +202,54 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _table_entries(reps: DataFrame) -> DataFrame:
-    """(key, table, rep, lo): the entries of all tables that hold two classes or more, lo the smallest."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(id, k1, n, shingles): the full sets of the documents of ``pairs``."""
+    wanted = _bounded(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = in_arrow(docs.join(wanted, "id", "left_semi"), lambda b: _sets(b, words), "id long, k1 long, shingles array<long>").dropDuplicates(["id", "k1"])
+    return saved(sets.select("id", "k1", F.size("shingles").cast("long").alias("n"), "shingles"), "near-sets")
+
+
+def _joined(parts: DataFrame | None, compared: DataFrame, percent: int) -> DataFrame | None:
+    """Components with what the comparison confirms."""
+    confirmed = compared.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
+    if confirmed.isEmpty():
+        return parts
+    return components(confirmed if parts is None else confirmed.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _part_of(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their ``rep``."""
+    if parts is None:
+        return rows.withColumn("part", F.col("rep"))
+    known = _bounded(parts.select(F.col("node").alias("rep"), "component"))
+    return rows.join(known, "rep", "left").select(*rows.columns, F.coalesce("component", "rep").alias("part"))
+
+
+def _shared_halves(reps: DataFrame) -> DataFrame:
+    """(slot, half, rep, lo): the halves that several classes have, lo the smallest of these."""
     halves = reps.select("rep", F.posexplode("halves").alias("slot", "half"))
-    shared = halves.groupBy("slot", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("slot", "half")
-    own = halves.join(shared, ["slot", "half"]).groupBy("rep").agg(F.collect_set(F.struct("slot", "half")).alias("own"))
+    shared = halves.groupBy("slot", "half").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").drop("hi")
+    return halves.join(shared, ["slot", "half"])
+
+
+def _centres(halves: DataFrame) -> DataFrame:
+    """(a, b): every class b that meets the smallest class a of its halves in a table, by the a of most halves."""
+    met = halves.where("rep <> lo").groupBy("rep", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("one"), F.max("slot").alias("two"))
+    met = met.where((F.col("one") < SIDE) & (F.col("two") >= SIDE))
+    return met.groupBy(F.col("rep").alias("b")).agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("a")).select("a", "b")
+
+
+def _table_entries(halves: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(key, table, rep): the entries of all tables, by halves that hold several components."""
+    placed = _part_of(halves.select("slot", "half", "rep"), parts)
+    mixed = placed.groupBy("slot", "half").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("slot", "half")
+    own = placed.join(mixed, ["slot", "half"]).groupBy("rep").agg(F.collect_set(F.struct("slot", "half")).alias("own"))
     first, second = (F.filter("own", lambda x: (x["slot"] < SIDE) if side == 0 else (x["slot"] >= SIDE)) for side in (0, 1))
 
     def combined(a: Column, b: Column) -> Column:
         return F.struct((a["slot"] * 2 * SIDE + b["slot"]).alias("table"), F.xxhash64(a["slot"], a["half"], b["slot"], b["half"]).alias("key"))
 
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: combined(a, b))))
-    entries = own.select("rep", F.inline(keys))
-    held = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "lo")
-    return entries.join(held, "key").select("key", "table", "rep", "lo")
+    return own.select("rep", F.inline(F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: combined(a, b))))))
 
 
 def _first_table(a: str, b: str) -> Column:
@@ -248,16 +270,15 @@ def _differing(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
 
 
-def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, tested: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _band(size: Column) -> Column:
+    """Bands of set sizes, each half as long again as the last or somewhat more."""
+    return F.floor(F.log(size) / F.log(F.lit(1.5625))).cast("int")
+
+
+def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, tested: DataFrame, last: bool, percent: int) -> tuple[DataFrame, DataFrame]:
     """The entries that still hold several components, and this round's new pairs (a < b)."""
-    if turn == 0:
-        # Nothing is joined yet but ids with several texts, whose classes are merely compared once more.
-        return entries, cut(entries.where("rep <> lo").groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).select("a", "b"))
-    of = entries.select("key", "table", "rep").withColumn("part", F.col("rep"))
-    if parts is not None:
-        known = _bounded(parts.select(F.col("node").alias("rep"), "component"))
-        of = of.join(known, "rep", "left").select("key", "table", "rep", F.coalesce("component", "rep").alias("part"))
-    if turn < 2:
+    of = _part_of(entries.select("key", "table", "rep"), parts)
+    if not last:
         state = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("rep").alias("centre"), F.min_by("part", "rep").alias("home"))
         entries = saved(of.join(state.where("lo <> hi").select("key", "centre", "home"), "key"), "near-live")
         pairs = entries.where("part <> home").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
@@ -267,18 +288,16 @@ def _candidates(entries: DataFrame, reps: DataFrame, parts: DataFrame | None, te
         brief = reps.withColumn("halves", F.transform("halves", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
         held = of.join(largest.where("parts > 1").drop("parts"), "key").join(brief, "rep")
         one = held.where("part <> largest").select("key", "table", F.col("bits").alias("ba"), F.col("rep").alias("a"), "part", F.col("n").alias("na"), F.col("halves").alias("ha"), F.col("centre").alias("ca"), F.col("away").alias("da"))
-        two = held.select(F.col("key").alias("with"), F.col("bits").alias("bb"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"))
+        one = one.withColumn("bands", F.explode(F.sequence(_band(F.ceil(percent * F.col("na") / 100)), _band(F.floor(100 * F.col("na") / percent)))))
+        two = held.select(F.col("key").alias("with"), F.col("bits").alias("bb"), F.col("rep").alias("b"), F.col("part").alias("other"), F.col("n").alias("nb"), F.col("halves").alias("hb"), F.col("centre").alias("cb"), F.col("away").alias("db"), _band(F.col("n")).alias("band"))
         apart = (F.col("part") != F.col("other")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         apart &= F.coalesce((F.col("ca") != F.col("cb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9), F.lit(True))
         both = F.col("na") + F.col("nb")
         # Sets that overlap enough differ in no more elements than this, and so in no more bits.
         apart &= _differing("ba", "bb") <= both - 2 * F.ceil(percent * both / (100 + percent))
         apart &= F.col("table") == _first_table("ha", "hb")
-        pairs = one.join(two, (F.col("key") == F.col("with")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return entries, cut(pairs.select("a", "b"))
+        pairs = one.join(two, (F.col("key") == F.col("with")) & (F.col("bands") == F.col("band")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return entries, cut(pairs.distinct().join(tested, ["a", "b"], "left_anti").select("a", "b"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -293,6 +312,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id."""
-    gone = near_dedup(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(_bounded(gone), id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group, the one with the smallest id, and one of rows alike in id and text."""
+    gone = near_dedup(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col("id").alias("of")).distinct()
+    given = boxed(docs).withColumn("id", F.col(f"doc.`{id_col}`").cast("long"))
+    left = given.join(_bounded(gone), F.col("id") == F.col("of"), "left_anti")
+    # Rows alike in id and text: only rows whose id repeats are compared.
+    repeated = _bounded(cut(docs.groupBy(F.col(id_col).cast("long").alias("of")).count().where("of IS NOT NULL AND count > 1").select("of")))
+    once = left.join(repeated, F.col("id") == F.col("of"), "left_anti").select("doc")
+    several = left.join(repeated, F.col("id") == F.col("of")).groupBy("id", F.col(f"doc.`{text_col}`").alias("text")).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return unboxed(once.unionByName(several), docs.columns)
