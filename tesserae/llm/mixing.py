@@ -7,6 +7,11 @@ uniform u from a hash of seed and id, documents rank by the odds u/(1-u) over th
 and a source takes them in that order up to the size that its target still lacks. The last
 document is taken if that brings the source nearer its target.
 
+Inclusion probabilities differ between sources and are equal within one: the target is a source's,
+and a document of it has no other claim to be drawn. ``weight_col`` gives documents one: expected
+copies are then in proportion to that weight within the source, none above ``most``, and
+probabilities differ from document to document.
+
 The rank cut needs no sort of a whole source. u falls into bins by rank; the words of each
 (source, bin) are summed before the shuffle, a running sum over the bins finds the bin in which
 the cut falls, and only that bin's documents are ranked one by one. Bins are so many that the
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORDS, text_of
+from tesserae.llm.common import WORDS, boxed, text_of, unboxed
 
 #: Fixed values of the contract: weights by source order, total share, most copies.
 WEIGHTS = (5, 2, 1)
@@ -135,7 +140,7 @@ def mix(
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; size 0 is never taken."""
-    copies = mixed.where("size > 0 AND copies > 0").groupBy("id", "tie").agg(F.max("copies").alias("copies"))
-    keyed = docs.withColumn("mix_tie", F.xxhash64(text_col))
-    taken = keyed.join(copies, keyed[id_col].eqNullSafe(copies["id"]) & (F.col("mix_tie") == F.col("tie")))
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mixed.where("size > 0 AND copies > 0").groupBy(F.col("id").alias("of"), F.col("tie").alias("of_tie")).agg(F.max("copies").alias("copies"))
+    given = boxed(docs).select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(f"doc.`{text_col}`").alias("tie"))
+    taken = given.join(copies, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")))
+    return unboxed(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)

@@ -28,11 +28,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tesserae.llm.common import in_arrow, saved, ship
+from tesserae.llm.common import boxed, in_arrow, saved, ship, unboxed
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
@@ -54,6 +54,9 @@ BEGINNINGS = (4, 5, 6)
 #: Labelled rows up to which their labels are sent to all executors instead of dealing the texts by id.
 BROADCAST_ROWS = 1_000_000
 
+#: Terms that a task counts at a time before it passes them on.
+MOST_COUNTED = 100_000
+
 _FOLD = {ord(k): v for k, v in (LOOK_ALIKES | SUBSTITUTES).items()} | {ord(c): None for c in INVISIBLE}
 _FOLD |= {0xFF01 + k: chr(0x21 + k).lower() for k in range(94)}  # full-width forms
 _OTHER = re.compile(r"[\W\d_]+")
@@ -136,9 +139,9 @@ def _counted(batches: Iterator[pa.RecordBatch], terms_of) -> Iterator[pa.RecordB
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             counter.update((t, toxic) for t in terms_of(text.as_py()))
-            if len(counter) > 400_000:
+            if len(counter) > MOST_COUNTED:
                 yield _summed(counter)
-                counter.clear()
+                counter = Counter()
     if counter:
         yield _summed(counter)
 
@@ -167,9 +170,9 @@ def _folded(docs: DataFrame) -> DataFrame:
     return in_arrow(docs, run, "folded string, toxic int, pick long")
 
 
-def held_out(id_col: str = "doc_id"):
-    """The fold that nothing is learned from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+def held_out(id_col: str = "doc_id") -> Column:
+    """The fold that nothing is learned from: crc32 of the id as text, modulo 5, is 0; rows without an id have no label and are in it."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def _fit(seen: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
@@ -245,19 +248,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, exceptions, _fit(fitted[["a", "b"]].to_numpy(float), fitted["toxic"].to_numpy(float)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) appended; ``docs`` mustn't have that column."""
-    ship(docs.sparkSession)
-    plain = docs.drop("score")
+def scored(model: Model, text: Column) -> Column:
+    """The score of a text, 0 to 1."""
+
     @arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> pa.Array:
         automaton = model.automaton()
         return pa.array([_value(model.curve, features(fold(t.as_py() or ""), automaton)) for t in texts], pa.float64())
 
-    return plain.withColumn("score", scored(F.col(text_col)))
+    return run(text)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``least``."""
-    names = docs.columns
-    return score(docs, learn(docs, labels)).where(F.col("score") < least).select(*names)
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score as ``name``, in the place of a column of that name."""
+    ship(docs.sparkSession)
+    return docs.withColumn(name, scored(model, F.col(f"`{text_col}`")))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``; all their columns are as they were."""
+    model = learn(docs, labels, text_col=text_col)
+    ship(docs.sparkSession)
+    return unboxed(boxed(docs).where(scored(model, F.col(f"doc.`{text_col}`")) < least), docs.columns)
