@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,14 +17,19 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that all executors share (``spark.checkpoint.dir``)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not top and not kept.isDefined():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    top = top or kept.get()
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``).
+
+    Where none is named one is set in local mode only, as in tests: there driver and executors are one machine.
+    """
+    context = spark.sparkContext
+    kept = context._jsc.sc().getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or (kept.get() if kept.isDefined() else None)
+    if not top:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="tesserae-")
     if not kept.isDefined():
-        spark.sparkContext.setCheckpointDir(top)
+        context.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
