@@ -92,12 +92,24 @@ def cross_entropy(probs: Column, label: Column) -> Column:
 
 
 def percentile_rank(frame: DataFrame, groups: list[str], score: str, out: str = "percentile") -> DataFrame:
-    """``frame`` with the mean rank among equals over the group's size, times 100."""
-    counted = frame.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("ties"))
-    summed = running(counted, groups, score, {"upto": "ties"})
-    sizes = counted.groupBy(*groups).agg(F.sum("ties").alias("size"))
-    ranked = summed.join(sizes, groups).select(*groups, score, ((F.col("upto") - (F.col("ties") - 1) / 2) / F.col("size") * 100).alias(out))
-    return frame.join(ranked, [*groups, score])
+    """``frame`` with the mean rank among equals over the group's size, times 100. Null groups are a
+    group; a null score has no rank and counts in no group's size."""
+    counted = frame.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("_ties"))
+    summed = running(counted, groups, score, {"_upto": "_ties"})
+    keys = {x: f"_key{i}" for i, x in enumerate([*groups, score])}
+
+    def same(names: list[str]) -> Column:
+        met = F.lit(True)
+        for x in names:
+            met &= F.col(x).eqNullSafe(F.col(keys[x]))
+        return met
+
+    sizes = counted.groupBy(*groups).agg(F.sum("_ties").alias("_size")).select(*(F.col(x).alias(keys[x]) for x in groups), "_size")
+    ranked = summed.join(sizes, same(groups)) if groups else summed.join(F.broadcast(sizes))
+    value = (F.col("_upto") - (F.col("_ties") - 1) / 2) / F.col("_size") * 100
+    ranked = ranked.select(*(F.col(x).alias(keys[x] + "_") for x in [*groups, score]), value.alias("_value"))
+    ranked = ranked.select(*(F.col(keys[x] + "_").alias(keys[x]) for x in keys), "_value")
+    return frame.join(ranked, same([*groups, score]), "left").select(*frame.columns, F.col("_value").alias(out))
 
 
 def percentile_against(frame: DataFrame, reference: DataFrame, score: str, out: str = "percentile") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.numbering import placed
+
 VAL_SHARE, TEST_SHARE = 0.1, 0.2
 
 
@@ -45,35 +47,45 @@ def quotas(patients: DataFrame, val_share: float = VAL_SHARE, test_share: float
     return patients.groupBy("label").agg(n.alias("n"), F.floor(n * F.lit(val_share)).alias("val"), F.floor(n * F.lit(test_share)).alias("test"))
 
 
+def _sizes(patients: DataFrame) -> DataFrame:
+    """(of, n, ...): patients per class, as a side to join by class."""
+    return patients.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _drawn(patients: DataFrame, folds: int, seed: int, groups: list[str]) -> DataFrame:
+    """Every patient once a fold, with ``r``, its place by draw order in its fold and ``groups``. Buckets of that
+    order are summed up, so no class is sorted in one task."""
+    every = patients.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("drawn", draw_order(seed, F.col("fold"), F.col("case_id")))
+    # The first 48 bits of the digest sort as the digest does.
+    dealt = every.withColumn("first", F.conv(F.substring("drawn", 1, 12), 16, 10).cast("long"))
+    return placed(dealt, ["fold", *groups], ["first", "drawn", "case_id"], "r").drop("first", "drawn")
+
+
 def stratified_split(patients: DataFrame, folds: int, seed: int, val_share: float = VAL_SHARE, test_share: float = TEST_SHARE, label_share: float = 1.0) -> DataFrame:
     """(fold, case_id, label, split): per fold and class the first by draw order validate, the
     next test, the rest train. Folds are repeated draws, not a partition. With ``label_share``
     below 1 only the first of the sorted rest train, the others are left out."""
-    drawn = patients.select("case_id", "label").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    group = Window.partitionBy("fold", "label")
-    ranked = drawn.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("r", F.row_number().over(group.orderBy(draw_order(seed, F.col("fold"), F.col("case_id")), "case_id")))
+    sized = _sizes(patients)
+    ranked = _drawn(patients.select("case_id", "label"), folds, seed, ["label"]).join(sized, F.col("label").eqNullSafe(F.col("of")))
     val, test = F.floor(F.col("n") * F.lit(val_share)), F.floor(F.col("n") * F.lit(test_share))
     split = F.when(F.col("r") <= val, "val").when(F.col("r") <= val + test, "test").otherwise("train")
-    named = ranked.select("fold", "case_id", "label", split.alias("split"))
+    named = ranked.select("fold", "case_id", "label", split.alias("split"), (F.col("n") - val - test).alias("size"))
     if label_share < 1:
-        rest = Window.partitionBy("fold", "label", "split")
-        place, size = F.row_number().over(rest.orderBy("case_id")), F.count(F.lit(1)).over(rest)
-        named = named.withColumn("place", place).withColumn("size", size).where((F.col("split") != "train") | (F.col("place") <= F.ceil(F.col("size") * F.lit(label_share)))).drop("place", "size")
-    return named
+        train = placed(named.where("split = 'train'"), ["fold", "label"], ["case_id"], "place")
+        named = named.where("split <> 'train'").unionByName(train.where(F.col("place") <= F.ceil(F.col("size") * F.lit(label_share))).drop("place"))
+    return named.drop("size")
 
 
 def forced_split(patients: DataFrame, forced: DataFrame, folds: int, seed: int, legacy: bool = False) -> DataFrame:
     """As ``stratified_split`` with ``forced`` patients in test and each class's test quota less by
     them, down to nothing. ``legacy``: no further test patients are drawn at all."""
     marked = patients.join(forced.select("case_id").distinct().withColumn("forced", F.lit(True)), "case_id", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
-    by_class = Window.partitionBy("label")
-    sized = marked.withColumn("n", F.count(F.lit(1)).over(by_class)).withColumn("n_forced", F.sum(F.col("forced").cast("int")).over(by_class))
-    drawn = sized.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    order = Window.partitionBy("fold", "label", "forced").orderBy(draw_order(seed, F.col("fold"), F.col("case_id")), "case_id")
+    sized = marked.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("forced").cast("int")).alias("n_forced"))
+    drawn = _drawn(marked, folds, seed, ["label", "forced"]).join(sized, F.col("label").eqNullSafe(F.col("of")))
     val = F.floor(F.col("n") * F.lit(VAL_SHARE))
     test = F.lit(0) if legacy else F.greatest(F.floor(F.col("n") * F.lit(TEST_SHARE)) - F.col("n_forced"), F.lit(0))
     split = F.when(F.col("forced"), "test").when(F.col("r") <= val, "val").when(F.col("r") <= val + test, "test").otherwise("train")
-    return drawn.withColumn("r", F.row_number().over(order)).select("fold", "case_id", "label", "forced", split.alias("split"))
+    return drawn.select("fold", "case_id", "label", "forced", split.alias("split"))
 
 
 def to_slides(split: DataFrame, slides: DataFrame) -> DataFrame:
@@ -108,20 +120,14 @@ def descriptor(split_slides: DataFrame, classes: dict[str, int], folds: int) ->
 
 def ragged(split: DataFrame, key: str) -> DataFrame:
     """(fold, row, train, val, test): the splits side by side, padded with nulls."""
-    placed = split.withColumn("row", F.row_number().over(Window.partitionBy("fold", "split").orderBy(key)))
-    return placed.groupBy("fold", "row").agg(*(F.max(F.when(F.col("split") == s, F.col(key))).alias(s) for s in ("train", "val", "test")))
+    numbered = placed(split, ["fold", "split"], [key], "row")
+    return numbered.groupBy("fold", "row").agg(*(F.max(F.when(F.col("split") == s, F.col(key))).alias(s) for s in ("train", "val", "test")))
 
 
 def one_hot(split: DataFrame, key: str) -> DataFrame:
     return split.select("fold", key, *((F.col("split") == s).alias(s) for s in ("train", "val", "test")))
 
 
-def class_weights(frame: DataFrame, label: str) -> DataFrame:
-    """Every row with N / n of its class; null labels have none."""
-    n = F.count(label).over(Window.partitionBy(label))
-    return frame.withColumn("weight", F.when(F.col(label).isNotNull(), F.count(label).over(Window.partitionBy()) / n))
-
-
 def balanced_weights(frame: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): N / n per class, without gathering rows."""
     counted = frame.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
