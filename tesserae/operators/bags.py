@@ -1,4 +1,4 @@
-"""Models over bags of tile vectors: dense layers, attention, pooling, instance losses, training.
+"""Models over bags of tile vectors: dense layers, attention, pooling, instance losses.
 
 Small layers are array expressions; wide ones go through one Arrow function per tile. Pooling is
 always a sum per bag, combined before the shuffle, so a bag of any size needs no task of its own.
@@ -129,44 +129,3 @@ def bag_loss(bag: Column, instance: Column, share: float) -> Column:
 def xavier(rows: int, columns: int, seed: int) -> np.ndarray:
     """Normal weights of variance 2 / (rows + columns)."""
     return np.random.default_rng(seed).normal(0, np.sqrt(2 / (rows + columns)), (rows, columns))
-
-
-def train_classifier(bags: DataFrame, vector: str, label: str, classes: int, epochs: int, rate: float = 0.05, decay: float = 1e-5, adam: bool = True, seed: int = 0) -> tuple[np.ndarray, list[float]]:
-    """A linear softmax classifier by full-batch gradient descent (Adam, or momentum 0.9).
-
-    Each epoch's gradient is a sum over all rows: tasks add up their batches and send one matrix
-    of fixed size each, which is summed before the driver sees it. Returns weights (last
-    column: bias) and the mean loss per epoch."""
-    width = bags.select(F.size(vector).alias("n")).first()["n"]
-    w = np.hstack([xavier(classes, width, seed), np.zeros((classes, 1))])
-    m, v, losses = np.zeros_like(w), np.zeros_like(w), []
-    rows = bags.select(F.col(vector).alias("x"), F.col(label).cast("int").alias("y"))
-    for epoch in range(1, epochs + 1):
-        total = rows.mapInArrow(_gradients(w), "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()
-        sums = {r["k"]: r["value"] for r in total}
-        n = sums[w.size + 1]
-        gradient = np.array([sums[k] for k in range(w.size)]).reshape(w.shape) / n + decay * w
-        losses.append(sums[w.size] / n)
-        m = (0.9 * m + 0.1 * gradient) if adam else (0.9 * m + gradient)
-        v = 0.999 * v + 0.001 * gradient**2
-        step = (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8) if adam else m
-        w = w - rate * step
-    return w, losses
-
-
-def _gradients(w: np.ndarray):
-    def run(batches):
-        total = np.zeros(w.size + 2)
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            x, y = np.hstack([x, np.ones((len(x), 1))]), batch.column(1).to_numpy(zero_copy_only=False)
-            z = x @ w.T
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            total[w.size] += -np.log(p[np.arange(len(y)), y]).sum()
-            total[w.size + 1] += len(y)
-            p[np.arange(len(y)), y] -= 1
-            total[: w.size] += (p.T @ x).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "value"])
-
-    return run

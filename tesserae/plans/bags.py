@@ -124,10 +124,3 @@ def weighted_loss(spark, sf_dir):
     own = F.get("probs", F.col("label"))
     rows = predictions(spark, sf_dir).groupBy("label").agg(F.avg(-F.log(own)).alias("bag"), F.avg(1 - own).alias("instance"))
     return rows.select("label", F.round(bags.bag_loss(F.col("bag"), F.col("instance"), 0.7), 6).alias("loss"))
-
-
-@query("ml_15_train_history")
-def train_history(spark, sf_dir):
-    """(epoch, loss) of a classifier of labels trained on all vectors."""
-    _, losses = bags.train_classifier(table(spark, sf_dir, "embeddings"), "embedding", "label", 10, 8)
-    return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(losses)], "epoch int, loss double")
