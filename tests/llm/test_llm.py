@@ -64,6 +64,13 @@ def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
     assert sorted((r.keep_id, r.n) for r in exact_dedup.read_state(spark, state).collect()) == [(3, 2), (7, 1), (9, 1)]
 
 
+def test_exact_dedup_reads_the_keepers_of_other_folders(spark, tmp_path):
+    state, first = str(tmp_path / "state"), lambda t: F.substring(t, 1, 1)
+    exact_dedup.update_state(spark, write(spark, [(1, "same text", "a"), (2, "x", "a")], tmp_path, "a"), state, digest=first)
+    found = exact_dedup.exact_dedup(spark, write(spark, [(3, "some text", "a"), (4, "same text", "a"), (5, "y", "a"), (6, "x", "a")], tmp_path, "b"), digest=first, state_dir=state)
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in found.collect()) == [(3, 3, 1, True), (4, 1, 2, False), (5, 5, 1, True), (6, 2, 2, False)]
+
+
 def test_exact_dedup_of_nothing(spark, tmp_path):
     assert exact_dedup.exact_dedup(spark, write(spark, [], tmp_path)).count() == 0
 
