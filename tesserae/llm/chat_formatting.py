@@ -15,7 +15,7 @@ chunk's border, and each chunk is then decoded between its borders.
 Defined results: null text is empty text (one piece); a null order comes first; pieces of one
 order follow by a hash of their text, repeated rows included; ties between roles go to the one
 first in ``ROLES``; without labelled rows all roles are equally likely; an empty table gives an
-empty result; other columns are ignored.
+empty result; ids are whole numbers or text that is one (other ids are an error); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ MARKERS = {"system": "system|instructions?|context", "user": "user|human|custome
 _MARKER = r"[ \t]*(?:[#>*\[]{1,3}[ \t]*)?(?:%s)[ \t]*[\]*]{0,2}[ \t]*:[ \t]*"
 _ANY = "(?i:" + _MARKER % "|".join(MARKERS.values()) + ")"
 CHUNK = 256
+#: The chunk of null orders, before all others.
+_NULLS_FIRST = -(1 << 62)
 _LENGTHS, _LINES, _MARKS = 12, 8, len(ROLES) + 1
 #: Where the symbols of each observed factor start: line lengths, number of lines, whole length, marker.
 _STARTS = (0, 2 * _LENGTHS, 2 * _LENGTHS + _LINES, 4 * _LENGTHS + _LINES, 4 * _LENGTHS + _LINES + _MARKS)
@@ -193,7 +195,7 @@ def format_chats(texts: DataFrame, model: Model, id_col: str = "conv_id", order_
     first, after = np.array(model.first), np.array(model.after)
     cut_up = pieces(texts.withColumn(id_col, F.col(id_col).cast("long")), id_col, order_col, text_col)
     score = F.array(*(F.aggregate("symbols", F.lit(0.0), lambda total, s: total + F.get(F.array(*map(F.lit, logs)), s)) for logs in model.symbol))
-    scored = cut_up.select("id", "order", "tie", "piece", "body", F.coalesce(F.floor(F.col("order") / chunk), F.lit(-1)).cast("long").alias("chunk"), score.alias("scores"))
+    scored = cut_up.select("id", "order", "tie", "piece", "body", F.coalesce(F.floor(F.col("order") / chunk).cast("long"), F.lit(_NULLS_FIRST)).alias("chunk"), score.alias("scores"))
     scored = saved(scored, "chat-pieces")
     order = ["id", "chunk", F.col("order").asc_nulls_first(), "tie", "piece"]
     dealt = scored.select("id", "chunk", "order", "tie", "piece", "scores").repartition("id", "chunk").sortWithinPartitions(*order)

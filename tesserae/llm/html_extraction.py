@@ -12,7 +12,8 @@ link text in it half, and none for nothing, so that text doesn't dive there.
 Defined results: null html and pages without main text give the empty string; unclosed and
 cut-off markup is read as far as it goes (an element to drop that is never closed is its start
 tag alone, only scripts and the like run to the end); repeated rows are extracted one by one; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; ids are whole numbers or text that is one (other ids are an error);
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Each task packs the rows it reads: no shuffle, no more than ``POOL`` remainders
 retried task gives the same sequences under the same ids (partition number, then a count).
 
 Defined results: null text is empty text; an empty document is its end id alone; repeated rows
-are packed as often as they occur; an empty table gives no sequence; other columns are ignored.
+are packed as often as they occur; ids are whole numbers or text that is one (other ids are an
+error); an empty table gives no sequence; other columns are ignored.
 """
 
 from __future__ import annotations

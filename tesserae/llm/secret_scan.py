@@ -1,7 +1,8 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is content-addressed (SHA-256 of its text). The ledger, a Parquet
-folder, holds one row per blob and rule version that was ever scanned, with the spans found;
+folder, holds the blobs and rule versions that were ever scanned, with the spans found (a version
+is its name and a digest of the rules, so that other rules never get these findings);
 a scan reads only the texts of blobs that the ledger doesn't hold for its rule version, each
 once, however many paths share it, and appends them. Findings then go back to all paths by a
 join on the blob. Re-running after a failure scans what the last run didn't commit.
@@ -16,6 +17,7 @@ all their paths get the spans; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -96,15 +98,22 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def version_of(rules: tuple[Rule, ...], rule_version: str = RULE_VERSION) -> str:
+    """What the ledger keeps findings under: the version's name and a digest of the rules themselves."""
+    told = "\x00".join(f"{r.kind}\x01{r.pattern}\x01{r.group}\x01{r.least}" for r in rules)
+    return f"{rule_version}/{hashlib.sha256(told.encode()).hexdigest()[:16]}"
+
+
 def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text_col: str = "text") -> None:
     """Scan the blobs of ``versions`` that the ledger lacks for this rule version, and append them."""
     spark = versions.sparkSession
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob")
+    version = version_of(rules, rule_version)
+    known = read_ledger(spark, ledger).where(F.col("rule_version") == version).select("blob")
     text = text_of(text_col)
     addressed = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
     # One text per blob; copies are combined before the shuffle, so a hot blob stays small.
     unseen = addressed.dropDuplicates(["blob"]).join(known, "blob", "left_anti")
-    find_spans(unseen, rules).withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger)
+    find_spans(unseen, rules).withColumn("rule_version", F.lit(version)).write.mode("append").parquet(ledger)
 
 
 def scan(
@@ -114,7 +123,8 @@ def scan(
     spark = versions.sparkSession
     ledger = ledger or shared_dir(spark, "blob-ledger")
     update_ledger(versions, ledger, rules, rule_version, text_col)
-    found = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
+    # Two scans at once may both have added a blob, with the same spans.
+    found = read_ledger(spark, ledger).where(F.col("rule_version") == version_of(rules, rule_version)).groupBy("blob").agg(F.first("spans").alias("spans"))
     paths = versions.select(*keys, F.sha2(text_of(text_col), 256).alias("blob"))
     return paths.join(found, "blob", "left").select(*keys, "blob", "spans")
 

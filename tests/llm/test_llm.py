@@ -472,6 +472,94 @@ def test_secret_scan_and_its_ledger(spark, tmp_path):
     assert secret_scan.scan(frame.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_other_rules_and_double_ledger_rows(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    frame = spark.createDataFrame([("p", 1, SECRET)], "path string, version int, text string")
+    secret_scan.scan(frame, ledger).count()
+    spark.read.parquet(ledger).coalesce(1).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(ledger)
+    assert secret_scan.scan(frame, ledger).count() == 1
+    only = (secret_scan.BASE[1],)
+    assert [secret_scan.joined(F.col("spans"), only) is not None and len(r.spans) for r in secret_scan.scan(frame, ledger, rules=only).collect()] == [1]
+
+
+CLASHES = ["id", "tie", "gone", "copies", "line_tie", "mix_tie", "mix_copy", "score", "of", "of_tie", "copy", "doc", "count", "lines", "stay", "part", "rep"]
+
+
+def clashing(spark, rows):
+    """Documents with columns of every name that operators add, each with a value to be kept."""
+    return spark.createDataFrame([(i, t, s, *(float(100 + k) for k in range(len(CLASHES)))) for i, t, s in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` double" for c in CLASHES))
+
+
+def test_other_columns_stay_as_they_were(spark, odd):
+    docs = clashing(spark, odd)
+    labels = spark.createDataFrame([(k, int(k % 9 == 0)) for k in range(160)], "doc_id long, toxic int")
+    for out in (line_dedup.remove_lines(docs), near_dedup.keep_first(docs), mixing.repeat(docs, mixing.mix(docs)), toxicity.keep_clean(docs, labels)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == 100.0 + k for r in rows for k, c in enumerate(CLASHES))
+    assert line_dedup.remove_lines(docs).count() == len(odd)
+    assert toxicity.score(docs, toxicity.learn(docs, labels), name="toxic").columns == [*docs.columns, "toxic"]
+
+
+def test_keep_first_takes_one_of_rows_alike(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "x y z", "s"), (None, "q r", "s"), (None, "q r", "s"), (2, None, "s")]
+    kept = near_dedup.keep_first(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "q r"), (0, "q r"), (1, "a b c"), (1, "x y z"), (2, "")]
+
+
+def test_whole_numbers_as_text_are_ids(spark):
+    docs = table(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s")]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.component_id for r in near_dedup.near_dedup(docs).collect()} == {1}
+    assert repetition.quality_rules(docs).count() == 2 and packing.pack(docs).count() >= 2
+    assert line_dedup.line_dedup(docs).where("removed").count() == 1
+
+
+def test_line_dedup_at_other_similarities(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        own = [rng.choice(base) for _ in range(3)] * rng.randrange(1, 9) if k % 3 == 0 else base[: rng.randrange(6, 40)]
+        if k % 2:
+            own[rng.randrange(len(own))] = f"e{k}"
+        rows.append((k, " ".join(own), "s"))
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))) for i, t, _ in rows}
+    for percent in (60, 80, 100):
+        want = {i: sum(100 * len(a & b) >= percent * len(a | b) for b in sets.values()) - 1 for i, a in sets.items()}
+        assert {r.id: r.n_links for r in line_dedup.line_dedup(table(spark, rows), percent=percent).collect()} == want
+
+
+def test_line_classes_under_one_hash_come_apart(spark, monkeypatch):
+    lines = [f"{x} same words in every line of this text {x}" for x in ("a", "b")] * 2
+    want = sorted((r.id, r.n_links, r.removed) for r in line_dedup.line_dedup(table(spark, [(k, t, "s") for k, t in enumerate(lines)])).collect())
+    monkeypatch.setattr(line_dedup, "_class_hash", lambda words, seed: F.lit(7).cast("long") if seed == 0 else F.xxhash64(F.lit(seed), words))
+    found = line_dedup.line_dedup(table(spark, [(k, t, "s") for k, t in enumerate(lines)])).collect()
+    assert sorted((r.id, r.n_links, r.removed) for r in found) == want == [(0, 1, False), (1, 1, False), (2, 1, True), (3, 1, True)]
+
+
+def naive_matches(folded, lexicon, exceptions):
+    """What toxicity.matches gives, by searching every term at every place."""
+    found, free = {}, []
+    for term, weight in lexicon.items():
+        for s in range(len(folded)):
+            if folded.startswith(term, s) and (s not in found or found[s][1] < weight):
+                found[s] = (s + len(term), weight)
+    for phrase in exceptions:
+        free += [(s, s + len(phrase)) for s in range(len(folded)) if folded.startswith(phrase, s)]
+    return [(s, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in free)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab c", min_size=1, max_size=4), max_size=5), st.lists(st.text("ab", min_size=1, max_size=3), max_size=3), st.text("ab c0", max_size=40))
+def test_toxicity_matches_equal_naive_search(terms, words, text):
+    lexicon = {f" {t.strip() or 'a'}": 1.0 + k for k, t in enumerate(dict.fromkeys(x.strip() or "a" for x in terms))}
+    exceptions = frozenset(f" {w} c " for w in words)
+    model, folded = toxicity.Model(lexicon, exceptions, ()), toxicity.fold(text)
+    got = toxicity.matches(folded, model.automaton()) if lexicon else []
+    assert [(s, w) for s, _, w in got] == (naive_matches(folded, lexicon, exceptions) if lexicon else [])
+
+
 def test_text_digest_is_of_the_normalised_text(spark, tmp_path):
     row = exact_dedup.exact_dedup(spark, write(spark, [(1, " a\x0b\n b ", "s")], tmp_path)).first()
     assert row.digest == hashlib.sha256(b" a b ").hexdigest()
