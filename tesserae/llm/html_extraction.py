@@ -6,7 +6,8 @@ empty lines. The text lengths of each line (less its link text) are summed over
 of ``WINDOW`` lines. Text surges where such a sum reaches ``SURGE``, or ``SHARE`` of the page's
 largest sum if that is less, and dives where it falls to nothing; every line between the two
 points is main text, links too, and so are the lines with a length that lead up to a surge.
-Marks of the main part (article, main) are a weight only: lines in it count ``WEIGHT`` times,
+A word of class, id or role marks boilerplate, but never an element that holds the article or, on
+pages without one, most of the text. Marks of the main part (article, main) are a weight only: lines in it count ``WEIGHT`` times,
 link text in it half, and none for nothing, so that text doesn't dive there.
 
 Defined results: null html and pages without main text give the empty string; unclosed and
@@ -47,6 +48,13 @@ cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
 comment comments commentlist disqus reply replies respond share sharing social related recommended pagination pager copyright legal
 complementary contentinfo""".split()
 
+#: Marks of what readers add, marks of headings, and words before a mark that tell of a page and mark nothing.
+OTHERS = "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr newsletter".split()
+HEADINGS = "header masthead".split()
+TELLING = "no has with without not show hide is single".split()
+#: Shares of a page's text from which a marked element is its main part where the page has no article or main; the greater for marks of readers' texts.
+MOSTLY, SURELY = 0.5, 0.9
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
@@ -57,41 +65,68 @@ _TOKEN = re.compile(
 )
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_BOILER_WORDS, _BLOCK, _VOID, _MAIN, _BOILER, _DROPPED = map(frozenset, (BOILER_WORDS, BLOCK, VOID, MAIN, BOILER, DROPPED))
+_BOILER_WORDS, _BLOCK, _VOID, _MAIN, _BOILER, _DROPPED, _OTHERS, _HEADINGS, _TELLING = map(frozenset, (BOILER_WORDS, BLOCK, VOID, MAIN, BOILER, DROPPED, OTHERS, HEADINGS, TELLING))
 #: Elements that an opening block closes if it is still open, as browsers do.
 _SELF_CLOSED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
 
-def _marked(attrs: str) -> bool:
+def _marks(attrs: str) -> set[str]:
+    """The words of class, id and role that mark boilerplate; a name that denies one or tells what a page has is none."""
     if "hidden" in attrs.split():
-        return True
-    for found in _MARK.finditer(attrs):
-        words = re.split(r"[\s_]+", (found[1] or found[2] or found[3] or "").lower())
-        if any(w in _BOILER_WORDS or any(part in _BOILER_WORDS for part in w.split("-")) for w in words):
-            return True
-    return False
+        return {"hidden"}
+    found = set()
+    for mark in _MARK.finditer(attrs):
+        for word in re.split(r"[\s_]+", (mark[1] or mark[2] or mark[3] or "").lower()):
+            parts = word.split("-")
+            if word in _BOILER_WORDS:
+                found.add(word)
+            elif parts[0] not in _TELLING:
+                found |= _BOILER_WORDS.intersection(parts)
+    return found
 
 
-def _ends(tokens: list[re.Match]) -> dict[int, int]:
-    """Where elements to drop start (as token numbers) and end: those that are closed before what they stand in."""
-    found: dict[int, int] = {}
+def _elements(tokens: list[re.Match], html: str) -> tuple[dict[int, int], set[int]]:
+    """Where elements to drop start (as token numbers) and end, those that are closed before what they stand in;
+    and the starts of elements that are main although a word marks them: they hold an article or main,
+    or most of the page's text."""
+    ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    spans: dict[int, int] = {}
+    upto, text, at = [], 0, 0  # characters of text before each token
+    holds = [0]  # article and main elements that begin before each token
     for k, token in enumerate(tokens):
+        text += len(html[at : token.start()].strip())
+        at = token.end()
+        upto.append(text)
         name = (token["name"] or "").lower()
+        opens = bool(name) and not token["close"] and name not in _VOID
+        holds.append(holds[-1] + (opens and name in _MAIN and not (token["attrs"] and _marks(token["attrs"]))))
         if not name or name in _VOID:
             continue
         if token["close"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     if name in _DROPPED:
-                        found[stack[depth][1]] = k
+                        ends[stack[depth][1]] = k
+                    spans.update((start, k) for _, start in stack[depth:])
                     del stack[depth:]
                     break
         elif not (name in ("svg", "math") and token["attrs"].rstrip().endswith("/")):
             if name == "body" and stack and stack[-1][0] == "head":
                 stack.pop()
             stack.append((name, k))
-    return found
+    text += len(html[at:].strip())
+    main = set()
+    spans.update((start, len(tokens)) for _, start in stack)
+    upto.append(text)
+    for start, end in spans.items():
+        attrs = tokens[start]["attrs"]
+        if attrs and (marks := _marks(attrs)):
+            inside = upto[end] - upto[start]
+            least = SURELY if marks & _OTHERS else MOSTLY
+            if marks != {"hidden"} and (holds[end] > holds[start + 1] or (not holds[-1] and inside >= least * text)):
+                main.add(start)
+    return ends, main
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
@@ -114,13 +149,13 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     def close(depth: int) -> None:
         nonlocal mains, anchors
         while len(stack) > depth:
-            name, _ = stack.pop()
-            mains -= name in _MAIN
+            name, off = stack.pop()
+            mains -= name in _MAIN and not off
             anchors -= name == "a"
 
     at = past = 0
     tokens = list(_TOKEN.finditer(html))
-    ends = _ends(tokens)
+    ends, main = _elements(tokens, html)
     for k, found in enumerate(tokens):
         if k < past:
             continue
@@ -155,9 +190,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                         break
                     if stack[depth][0] in _BLOCK:
                         break
-            off = (bool(stack) and stack[-1][1]) or name in _BOILER or (name == "header" and not mains) or (bool(found["attrs"]) and name not in ("body", "html", *MAIN) and _marked(found["attrs"]))
+            off = (bool(stack) and stack[-1][1]) or name in _BOILER or (name == "header" and not mains)
+            if not off and found["attrs"] and name not in ("body", "html", "main") and k not in main:
+                # The heading of the main part is part of it.
+                off = bool(_marks(found["attrs"]) - (_HEADINGS if mains else frozenset()))
             stack.append((name, off))
-            mains += name in _MAIN
+            mains += name in _MAIN and not off
             anchors += name == "a"
     if at < len(html):
         parts.append(html[at:])

@@ -149,6 +149,60 @@ def test_html_without_end_tags_loses_nothing():
     assert text("<article><select><option>no<option>no</select><p>One</p><script>no") == "One"
 
 
+@pytest.mark.parametrize("mark", ["content no-sidebar", "layout has-sidebar", "post related", "legal-text", "search-results", "entry-header", "comments-open"])
+def test_html_keeps_wrappers_that_hold_the_main_text(mark):
+    body = "This sentence is long enough to count as main text of a page. " * 3
+    inside = f"<p>{body}</p><p>{body}</p>"
+    want = "\n".join([body.strip()] * 2)
+    menu = "<div class='side menu'><a href=x>one</a></div>"
+    for page in (f"<div class='{mark}'>{inside}</div>", f"<div class='{mark}'><article>{inside}</article></div>", f"<article class='{mark}'>{inside}</article>", f"<article><div class='title {mark}'><p>Kept</p></div>{inside}</article>"):
+        text = html_extraction.main_text(f"<body>{menu}{page}{menu}")
+        assert text.endswith(want) and "one" not in text
+    assert html_extraction.main_text(f"<body><article><div class=entry-header>Title</div>{inside}</article>") == f"Title\n{want}"
+
+
+def test_html_drops_comments_that_are_articles():
+    body = "This sentence is long enough to count as main text of a page. " * 3
+    said = "".join(f"<article class=comment><p>{body} says reader {k}</p></article>" for k in range(4))
+    assert html_extraction.main_text(f"<body><article><p>{body}</p></article>{said}") == body.strip()
+    assert html_extraction.main_text(f"<body><article><p>{body}</p></article><section id=comments>{said}</section>") == body.strip()
+
+
+def naive_blocks(lines, window, surge, share, weight):
+    """Main text by looking at every window anew."""
+    n = len(lines)
+    size = [max(1, weight * len(t) - links) if m else max(0, len(t) - 2 * links) for t, links, m in lines]
+    total = lambda k: sum(size[j] for j in range(k, min(n, k + window)))
+    least = min(surge, share * max((total(k) for k in range(n)), default=0))
+    inside, kept, state, dive = [False] * n, [], False, 0
+    for k in range(n):
+        if not state and size[k] and total(k) >= least:
+            state, j = True, k
+            while j > dive and size[j - 1]:
+                j -= 1
+                inside[j] = True
+        elif state and not total(k):
+            state, dive = False, k
+        inside[k] |= state
+    return "\n".join(lines[k][0] for k in range(n) if inside[k] and lines[k][0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "ab", "a longer line of text", "x" * 90]), st.booleans(), st.booleans()), max_size=12))
+def test_html_blocks_equal_a_naive_count(spec):
+    page, lines = "", []
+    for text, linked, main in spec:
+        if not text:
+            page += "<nav>menu</nav>"
+            lines.append(("", 0, False))
+        else:
+            one = f"<p><a href=x>{text}</a></p>" if linked else f"<p>{text}</p>"
+            page += f"<article>{one}</article>" if main else one
+            lines.append((text, len(text) if linked else 0, main))
+    assert html_extraction.lines_of(page) == lines
+    assert html_extraction.main_text(page) == naive_blocks(lines, html_extraction.WINDOW, html_extraction.SURGE, html_extraction.SHARE, html_extraction.WEIGHT)
+
+
 def brute_repeats(words):
     found = [0] * len(words)
     for i in range(len(words)):
