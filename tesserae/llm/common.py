@@ -70,7 +70,18 @@ def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame
     return rows.select(*(changed.get(x, F.col(f"doc.`{x}`")).alias(x) for x in columns))
 
 
+#: Rows of text that go to Python at a time, where the session names no other number: long documents make large batches.
+BATCH = 1000
+
+
+def for_python(spark: SparkSession) -> None:
+    """This package on the executors, and small batches to them."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def in_arrow(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
-    ship(frame.sparkSession)
+    for_python(frame.sparkSession)
     return frame.mapInArrow(function, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tesserae.llm.common import boxed, in_arrow, saved, ship, unboxed
+from tesserae.llm.common import boxed, for_python, in_arrow, saved, unboxed
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = {
@@ -261,12 +261,12 @@ def scored(model: Model, text: Column) -> Column:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score as ``name``, in the place of a column of that name."""
-    ship(docs.sparkSession)
+    for_python(docs.sparkSession)
     return docs.withColumn(name, scored(model, F.col(f"`{text_col}`")))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``least``; all their columns are as they were."""
     model = learn(docs, labels, text_col=text_col)
-    ship(docs.sparkSession)
+    for_python(docs.sparkSession)
     return unboxed(boxed(docs).where(scored(model, F.col(f"doc.`{text_col}`")) < least), docs.columns)
