@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,7 +44,19 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read again (compressed, column-pruned)."""
     path = shared_dir(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for frames that nothing reads any more, and let go of the shuffle
+    files of queries that are over: Spark deletes these once the driver has collected its garbage."""
+    for frame in frames:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -35,11 +35,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import boxed, cut, saved, text_of, unboxed
+from tesserae.llm.common import boxed, cut, discard, saved, text_of, unboxed
 
 PERCENT, WORDS = 80, 5
 BUCKETS = 1 << 14
-BITMAP = 4
+BITMAP = 8
 _HASH_BITS = 49
 _MASK = (1 << _HASH_BITS) - 1
 #: Rows up to which keys are sent to all executors instead of dealing what they select from.
@@ -177,18 +177,22 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posts = lines.select("c", "near", F.posexplode("prefix").alias("pos", "token")).select("token", "c", (F.col("pos") <= F.col("near")).cast("int").alias("short"))
     shared = cut(posts.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("short")).where("lo <> hi AND short = 1").select("token"))
     kept = saved(posts.select("token", "c").join(_bounded(shared), "token").distinct(), "line-posts")
+    discard(docs.sparkSession)
     firsts = _bounded(classes.join(kept.select("c").distinct(), "c").select("c", *(F.col(f"first.{x}").alias(f"at_{x}") for x in _PLACE)))
     # Null-safe: a class's first line may stand in a row without an id.
     there = reduce(lambda x, y: x & y, (F.col(x).eqNullSafe(F.col(f"at_{x}")) for x in _PLACE))
     chosen = split_lines(docs, id_col, text_col).join(firsts, there).dropDuplicates(["c"])
     full = saved(_worded(chosen, ranks, words).withColumn("tokens", _all_tokens(words)).select("c", F.size("tokens").alias("n"), "tokens"), "line-sets")
+    discard(docs.sparkSession)
     pairs = cut(_candidates(kept, full, percent))
+    discard(docs.sparkSession, kept)
     met = _bounded(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
     some = full.join(met, "c").select("c", "tokens")
     both = pairs.join(some.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(some.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    links = both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
-    return lines.drop("prefix", "near"), classes, cut(links)
+    links = cut(both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b"))
+    discard(docs.sparkSession, full)
+    return lines.drop("prefix", "near"), classes, links
 
 
 def _candidates(kept: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +237,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; every row and column stays."""
     given = boxed(docs).select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(f"doc.`{text_col}`").alias("tie"))
-    found = line_dedup(docs, id_col, text_col, percent, words).where("removed").groupBy("id", "tie").agg(F.collect_set("line_no").alias("gone"))
+    found = cut(line_dedup(docs, id_col, text_col, percent, words).where("removed").groupBy("id", "tie").agg(F.collect_set("line_no").alias("gone")))
+    discard(docs.sparkSession)
+    total = found.agg(F.sum(F.size("gone"))).first()[0] or 0
+    found = F.broadcast(found) if total <= BROADCAST_ROWS else found
     joined = given.join(found.select(F.col("id").alias("of"), F.col("tie").alias("of_tie"), "gone"), F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left")
     text = F.col(f"doc.`{text_col}`")
     lines = F.split(text, "\n", -1)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import boxed, cut, in_arrow, saved, unboxed
+from tesserae.llm.common import boxed, cut, discard, in_arrow, saved, unboxed
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 SIDE, DEPTH = 16, 4
@@ -187,11 +187,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = reps.join(compared.select(F.col("b").alias("rep"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("either")).alias("away")), "rep", "left")
     parts = _joined(parts, compared, percent)
     live = saved(_table_entries(halves, parts), "near-entries")
+    discard(docs.sparkSession, halves)
     for last in (False, True):
         live, pairs = _candidates(live, reps, parts, tested, last, percent)
         if not pairs.isEmpty():
             tested = cut(tested.unionByName(pairs))
             parts = _joined(parts, cut(_compared(pairs, _sets_of(given, pairs, words), percent)), percent)
+        discard(docs.sparkSession)
+    discard(docs.sparkSession, live)
     if parts is None:
         linked = members.select("id", F.col("rep").alias("component_id"))
     else:
