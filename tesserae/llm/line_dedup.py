@@ -39,7 +39,7 @@ from tesserae.llm.common import boxed, cut, discard, saved, text_of, unboxed
 
 PERCENT, WORDS = 80, 5
 BUCKETS = 1 << 14
-BITMAP = 8
+BITMAP = 16
 _HASH_BITS = 49
 _MASK = (1 << _HASH_BITS) - 1
 #: Rows up to which keys are sent to all executors instead of dealing what they select from.
@@ -154,8 +154,8 @@ def _classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _band(size: Column) -> Column:
-    """Bands of set sizes, the longest of each half as long again as its shortest or somewhat more."""
-    return F.floor(F.log(size) / F.log(F.lit(1.5625))).cast("int")
+    """Bands of set sizes, the longest of each twice as long as its shortest or somewhat more."""
+    return F.floor(F.log(size) / F.log(F.lit(2.44))).cast("int")
 
 
 def _bits(full: DataFrame) -> DataFrame:
@@ -197,11 +197,13 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _candidates(kept: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of classes, a the smaller set, that share a prefix token and that no bound rules out."""
-    # Only a set's prefix goes along.
+    # Of a set only the tokens of its prefix that other classes have go along.
     heads = full.select("c", "n", F.slice("tokens", F.lit(1), _rest(F.col("n"), 100 - percent, 100) + 1).alias("head"))
-    placed = kept.join(heads.join(_bits(full), "c"), "c").withColumn("pos", F.array_position("head", F.col("token")).cast("int") - 1).where("pos >= 0")
+    met = kept.groupBy("c").agg(F.collect_set("token").alias("met"))
+    own = heads.join(met, "c").select("c", "n", "head", F.array_intersect("head", "met").alias("own")).join(_bits(full), "c")
     bits = [f"bits{k}" for k in range(BITMAP)]
-    posts = placed.select("token", "c", "n", "pos", *bits, F.slice("head", F.lit(1), F.greatest("pos", F.lit(0))).alias("before"))
+    placed = own.select("c", "n", "head", "own", *bits, F.posexplode("own").alias("k", "token"))
+    posts = placed.select("token", "c", "n", (F.array_position("head", F.col("token")) - 1).cast("int").alias("pos"), *bits, F.slice("own", F.lit(1), F.col("k")).alias("before"))
     small = posts.where(F.col("pos") <= _rest(F.col("n"), 100 - percent, 100 + percent))
     small = small.withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.floor(100 * F.col("n") / percent)))))
     large = posts.withColumn("band", _band(F.col("n")))
