@@ -114,12 +114,13 @@ def keep_holes(contours: DataFrame, most: int, least: float, sx: float = 1.0, sy
 
 
 def tiles(
-    contours: DataFrame, size: int, step: int, rule: str = "four_pt", padding: bool = True, region: tuple[int, int, int, int] | None = None, reject_holes: bool = True, shift: float = 0.5
+    contours: DataFrame, size: int, step: int, rule: str = "four_pt", padding: bool = True, region: tuple[int, int, int, int] | None = None, reject_holes: bool = True, shift: float = 0.5, down: float = 1.0
 ) -> DataFrame:
     """(slide_id, cont_idx, x, y): the grid over each contour's box, kept where the contour holds
     the tile. Contours may give the same tile twice. Without padding a tile ends inside the
-    image (``width``, ``height`` columns). ``region``: x1, y1, x2, y2 that grids are cut to."""
-    step = min(step, size)
+    image (``width``, ``height`` columns). ``region``: x1, y1, x2, y2 that grids are cut to.
+    ``down``: the downsample of the level that size and step are given in; places are those of level 0."""
+    size, step = int(size * down), int(min(step, size) * down)
     b = F.col("box")
     x1, y1, x2, y2 = b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]
     if not padding:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.numbering import numbered
+
 #: Patience, and the epoch up to which training never stops.
 PATIENCE, STOP_AFTER = 20, 50
 
@@ -50,3 +52,18 @@ def step_states(log: DataFrame, job: str, order: str, line: str, markers: dict[s
     each = state.select(job, "at", "failed", F.posexplode(F.array(*map(F.lit, steps))).alias("k", "step"))
     running = F.when(F.col("failed") == 1, "error").otherwise("running")
     return each.select(job, "step", F.when(F.col("k") < F.col("at"), "done").when(F.col("k") == F.col("at"), running).otherwise("pending").alias("state"))
+
+
+def progress(frame: DataFrame, key: str, chunks: int = 10) -> DataFrame:
+    """(key, chunk): the rows at which a new chunk of the work, in key order, begins."""
+    total = frame.count()
+    placed = numbered(frame.select(key), key, "place").withColumn("chunk", F.floor(F.col("place") * chunks / max(1, total)).cast("int"))
+    begins = (F.col("place") == 0) | (F.col("chunk") > F.floor((F.col("place") - 1) * chunks / max(1, total)))
+    return placed.where(begins).select(key, "chunk")
+
+
+def stage_seconds(log: DataFrame, job: str, stage: str, at: str) -> DataFrame:
+    """(job, stage, seconds): from the first to the last line of each stage."""
+    first, last = (F.unix_micros(f(F.col(at).cast("timestamp"))) for f in (F.min, F.max))
+    seconds = last - first
+    return log.groupBy(job, stage).agg((seconds / 1e6).alias("seconds"))

@@ -68,3 +68,19 @@ def colour(score: Column) -> Column:
     """Blue to red by score (a linear map), as r, g, b."""
     level = F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * 255)
     return F.struct(level.alias("r"), F.lit(0).cast("long").alias("g"), (255 - level).alias("b"))
+
+
+def crops(pixels: DataFrame, patch: str, x: int, y: int, size: int) -> DataFrame:
+    """(patch, x, y, r, g, b): the square of ``size`` around a centre, places counted from its corner; what lies outside is black."""
+    spots = pixels.select(patch).distinct().select(patch, F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i")).select(patch, (F.col("i") % size).alias("cx"), F.floor(F.col("i") / size).cast("int").alias("cy"))
+    near = pixels.select(patch, (F.col("x") - (x - size // 2)).alias("cx"), (F.col("y") - (y - size // 2)).alias("cy"), *RGB)
+    return spots.join(near, [patch, "cx", "cy"], "left").select(patch, F.col("cx").alias("x"), F.col("cy").alias("y"), *(F.coalesce(c, F.lit(0)).alias(c) for c in RGB))
+
+
+def channel_means(pixels: DataFrame, patch: str) -> DataFrame:
+    return pixels.groupBy(patch).agg(*(F.avg(c).alias(f"mean_{c}") for c in RGB))
+
+
+def heatmap(tiles: DataFrame, canvas: str, x: str, y: str, size: int, score: str) -> DataFrame:
+    """(canvas, px, py, r, g, b): every covered pixel in the colour of its mean score."""
+    return overlay(tiles, canvas, x, y, size, score).withColumn("c", colour(F.col("mean"))).select(canvas, "px", "py", "c.r", "c.g", "c.b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.numbering import numbered, running
+from tesserae.operators.numbering import numbered, placed, running
 
 
 def drawn(seed: int, key: Column) -> Column:
@@ -55,3 +55,9 @@ def last_n(frame: DataFrame, group: str, order: str, n: int) -> DataFrame:
     sliced = frame.withColumn("slice", F.pmod(F.xxhash64(order), F.lit(64)))
     short = sliced.withColumn("k", F.row_number().over(Window.partitionBy(group, "slice").orderBy(newest))).where(F.col("k") <= n)
     return short.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(newest))).where(F.col("k") <= n).drop("k", "slice")
+
+
+def shuffled(frame: DataFrame, key: str, seed: int) -> DataFrame:
+    """``frame`` with ``place`` 1, 2, ... in a random order that a seed fixes."""
+    dealt = frame.withColumn("_draw", drawn(seed, F.col(key))).withColumn("_first", F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long"))
+    return placed(dealt, [], ["_first", "_draw", key], "place").drop("_draw", "_first")

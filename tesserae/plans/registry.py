@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("splits", "metrics", "planning", "tiling", "bags", "rows", "sampling", "jobs", "rasters", "pixels", "catalogue", "flows", "training")
+_MODULES = ("splits", "metrics", "planning", "tiling", "bags", "rows", "sampling", "jobs", "rasters", "pixels", "catalogue", "flows", "training", "library")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tesserae.functions.text import stem
+from tesserae.operators.numbering import numbered
 from tesserae.operators.rows import resolve
 
 LABELS = "slide_id string, case_id string, label string, site string, sex string, source string"
-SLIDE_NAMES, CASE_NAMES = {"slide_id", "slide", "filename", "file_id"}, {"case_id", "patient_id", "case", "patient"}
+#: Usual names of the key columns.
+SLIDE_NAMES, CASE_NAMES = {"slide_id", "slide", "wsi", "filename", "file_id"}, {"patient", "patient_id", "case_id", "case", "subject"}
 
 
 def files(spark: SparkSession, top: str, pattern: str = "*.svs", depth: int | None = None) -> DataFrame:
@@ -23,6 +26,19 @@ def files(spark: SparkSession, top: str, pattern: str = "*.svs", depth: int | No
     return found
 
 
+def listed(spark: SparkSession, top: str, pattern: str = "*") -> DataFrame:
+    """(place, name, path): the files of one folder, numbered by name."""
+    flat = files(spark, top, pattern, depth=1).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path")
+    return numbered(flat, "name", "place").select("place", "name", "path")
+
+
+def by_name(slides: DataFrame, features: DataFrame, path: str = "path") -> DataFrame:
+    """Slides with the feature file of their name, whatever folder and extension it has; null for none.
+    Of several files of a name the first by path."""
+    named = features.groupBy(stem(F.col(path)).alias("_stem")).agg(F.min(path).alias("features"))
+    return slides.join(named, stem(F.col("slide_id")) == F.col("_stem"), "left").drop("_stem")
+
+
 def table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A CSV file with a header under an explicit schema; NaN texts are nulls."""
     return spark.read.csv(path, header=True, schema=schema, nullValue="nan", enforceSchema=False)

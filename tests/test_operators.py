@@ -106,15 +106,6 @@ def test_small_and_wide_attention_agree(spark):
     assert all(r.x == pytest.approx(r.y) for r in row)
 
 
-def test_training_lowers_the_loss(spark):
-    rng = np.random.default_rng(1)
-    data = [([float(v) for v in rng.normal(y, 1, 4)], y) for y in (0, 1, 2) for _ in range(40)]
-    frame = spark.createDataFrame(data, "x array<double>, y int")
-    for adam in (True, False):
-        _, losses = bags.train_classifier(frame, "x", "y", 3, 12, adam=adam)
-        assert losses[-1] < losses[0]
-
-
 def test_pixel_kernels():
     image = np.full((40, 40, 3), 240, np.uint8)
     image[5:30, 5:30] = (200, 60, 120)
