@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORDS, boxed, text_of, unboxed
+from tesserae.llm.common import WORDS, boxed, cut, text_of, unboxed
 
 #: Fixed values of the contract: weights by source order, total share, most copies.
 WEIGHTS = (5, 2, 1)
@@ -85,6 +85,7 @@ def mix(
     most: float = MOST,
     seed: str = SEED,
     bins: int = BINS,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """(id, source, tie, size, source_size, target, copies) for every row of ``docs``."""
     sized = docs.select(
@@ -92,18 +93,20 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         F.xxhash64(text_col).alias("tie"),
         words_in(text_of(text_col)).alias("size"),
+        (F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)).alias("weight"),
     ).withColumn("u", uniform(F.col("id"), seed))
     share_of = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    plan = (
-        share_of.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("whole", F.floor("rate"))
-        .withColumn("p", F.col("rate") - F.col("whole"))
-        .withColumn("lacks", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumnRenamed("source", "of")
-    )
+    if weight_col:
+        plan, rate = _weighted(sized, share_of, most), F.least(F.col("level") * F.col("weight"), F.lit(most))
+    else:
+        plan, rate = share_of.withColumn("level", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.col("level")
+        plan = plan.withColumn("lacks", F.col("target") - F.floor("level") * F.col("source_size"))
+    plan = plan.withColumnRenamed("source", "of")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     ranked = (
         sized.join(plan, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("whole", F.floor(rate))
+        .withColumn("p", rate - F.col("whole"))
         .withColumn("rank", F.when(F.col("p") > 0, odds))
         # Any rising function of the rank will do for a bin.
         .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
@@ -138,6 +141,34 @@ def mix(
     return done.select("id", "source", "tie", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"))
 
 
+def _weighted(sized: DataFrame, share_of: DataFrame, most: float) -> DataFrame:
+    """``share_of`` with the level that times a document's weight is its expected copies, and the words that whole copies lack.
+
+    Documents that the level takes above ``most`` copies are held there, which raises the level for the others;
+    every turn holds more of them, until none is left to hold.
+    """
+
+    def of(level: Column, value: Column) -> Column:
+        return F.sum(F.when(level * F.col("weight") >= most, 0.0).otherwise(value))
+
+    level, before = F.lit(0.0), None
+    plan = share_of.withColumn("level", F.lit(0.0))
+    while True:
+        level = F.col("level")
+        joined = sized.join(plan.select(F.col("source").alias("of"), "level"), F.col("source").eqNullSafe(F.col("of")))
+        sums = joined.groupBy("of").agg(of(level, F.col("weight") * F.col("size")).alias("open"), F.sum(F.when(level * F.col("weight") >= most, F.col("size")).otherwise(0)).alias("held"))
+        raised = F.when(F.col("open") > 0, (F.col("target") - most * F.col("held")) / F.col("open")).otherwise(F.col("level"))
+        plan = cut(share_of.join(plan.select(F.col("source").alias("was"), "level"), F.col("source").eqNullSafe(F.col("was"))).join(sums, F.col("source").eqNullSafe(F.col("of"))).select("source", "source_size", "target", raised.alias("level"), "held"))
+        now = tuple(plan.agg(F.sum("held"), F.count(F.lit(1))).first())
+        if now == before:
+            break
+        before = now
+    joined = sized.join(plan.select(F.col("source").alias("of"), "level"), F.col("source").eqNullSafe(F.col("of")))
+    whole = joined.groupBy("of").agg(F.sum(F.floor(F.least(F.col("level") * F.col("weight"), F.lit(most))) * F.col("size")).alias("whole_words"))
+    found = plan.join(whole, F.col("source").eqNullSafe(F.col("of")))
+    return found.select("source", "source_size", "target", "level", (F.col("target") - F.col("whole_words")).alias("lacks"))
+
+
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; size 0 is never taken."""
     copies = mixed.where("size > 0 AND copies > 0").groupBy(F.col("id").alias("of"), F.col("tie").alias("of_tie")).agg(F.max("copies").alias("copies"))

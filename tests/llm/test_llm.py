@@ -98,6 +98,21 @@ def test_mix_meets_targets(spark, odd):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_mix_draws_documents_by_their_weight(spark):
+    rows = [(k, "w " * 9 + "w", "a" if k < 3000 else "b") for k in range(4000)]
+    frame = table(spark, rows).withColumn("wish", F.when(F.col("doc_id") % 10 == 0, 40.0).when(F.col("doc_id") % 2 == 1, 3.0).when(F.col("doc_id") % 4 == 0, None).otherwise(1.0))
+    found = mixing.mix(frame, weights=(1, 1), share=0.5, weight_col="wish").collect()
+    for source in "ab":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 10
+        share = lambda keep: np.mean([r.copies for r in own if keep(r.id)])
+        heavy, three, one, none = (share(f) for f in (lambda i: i % 10 == 0, lambda i: i % 2 == 1, lambda i: i % 4 == 2 and i % 10, lambda i: i % 4 == 0 and i % 10))
+        assert heavy == 2 and none == 0 and 1.5 * one < three and max(r.copies for r in own) <= 2
+        assert abs(three - min(2.0, 3 * one)) < 0.2
+    again = mixing.mix(frame.repartition(5), weights=(1, 1), share=0.5, weight_col="wish").collect()
+    assert {(r.id, r.copies) for r in again} == {(r.id, r.copies) for r in found}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>if (a < b) x("</p>")</script></head><body class="page">
 <nav><ul><li><a href="/">Home</a></ul></nav><!-- ad --><div class="top-ad">Buy <p>this</div><header>Site</header>
 <article><h1>A &amp; B</h1><p>First  line<br>next<p><b>Bold <i>text</i></b> &lt;x&gt; &#233;<aside>Side</aside><p>Last</article>
