@@ -45,7 +45,8 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
-#: Learned scores, minhashes and token ids are beyond SQL; tests compare the stages with brute force.
+#: Learned scores, minhashes and token ids are beyond SQL. Tests compare line dedup and near dedup with brute force,
+#: packing with the tokenizers file, the mix with its targets, and toxicity with its labels (test_llm).
 ORACLE_SQL = None
 
 
