@@ -76,8 +76,54 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM s),
+f AS (SELECT token, count(*) AS f FROM t GROUP BY token),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id ORDER BY f, token) AS k FROM t JOIN f USING (token)),
+x AS (SELECT doc_id, n, token FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b USING (token) WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+c AS (SELECT p.a, p.b, len(u.s) AS na, len(v.s) AS nb, len(list_intersect(u.s, v.s)) AS met FROM p JOIN s u ON u.doc_id = p.a JOIN s v ON v.doc_id = p.b),
+e AS (SELECT a, b FROM c WHERE 100 * met >= 80 * (na + nb - met)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(i, j) AS (SELECT a, b FROM l UNION SELECT i, b FROM reach JOIN l ON a = j),
+m AS (SELECT i, least(i, min(j)) AS component FROM reach GROUP BY i)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN m ON i = doc_id
+"""
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(documents(spark, sf_dir))
+    found = repetition.quality_rules(documents(spark, sf_dir))
+    return found.withColumn("long_repeat", F.col("longest_repeat") > repetition.MOST_LONGEST).drop("longest_repeat")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w),
+g AS (
+  SELECT doc_id, k, CASE WHEN k + 2 <= len(w) THEN array_to_string(w[k:k + 2], ' ') END AS g3, CASE WHEN k + 9 <= len(w) THEN array_to_string(w[k:k + 9], ' ') END AS g10,
+         CASE WHEN k + 50 <= len(w) THEN md5(array_to_string(w[k:k + 50], ' ')) END AS g51 FROM p
+), c AS (
+  SELECT doc_id, k, g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS r3, g10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g10) > 1 AS r10,
+         g51 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g51) > 1 AS r51 FROM g
+), m AS (
+  SELECT doc_id, max(r3::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+         max(r10::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, r51 FROM c
+), s AS (SELECT doc_id, sum(c3)::BIGINT AS n_repeat_words, sum(c10)::BIGINT AS n_covered, bool_or(r51) AS long_repeat FROM m GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(long_repeat, false) AS long_repeat
+  FROM w LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 5 * n_covered <= n_words AND NOT long_repeat AS kept FROM f
+"""
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +137,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "line_no", F.col("first_id").alias("class_doc_id"), F.col("first_line").alias("class_line_no"), "n_links", "removed")
 
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
+), w AS (SELECT doc_id, line_no::INT AS line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, line_no, array_to_string(w, ' ') AS c, w FROM w WHERE len(w) > 0),
+g AS (SELECT c, min(struct_pack(d := doc_id, l := line_no)) AS first, count(*) AS copies, any_value(w) AS w FROM k GROUP BY c),
+s AS (SELECT c, row_number() OVER (ORDER BY c) AS i, first, copies, CASE WHEN len(w) < 5 THEN [c] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) END AS s FROM g),
+t AS (SELECT i, len(s) AS n, unnest(s) AS token FROM s),
+f AS (SELECT token, count(*) AS f FROM t GROUP BY token),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY i ORDER BY f, token) AS k FROM t JOIN f USING (token)),
+x AS (SELECT i, n, token FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.i AS a, b.i AS b FROM x a JOIN x b USING (token) WHERE a.i < b.i AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+v AS (SELECT p.a, p.b, len(y.s) AS na, len(z.s) AS nb, len(list_intersect(y.s, z.s)) AS met FROM p JOIN s y ON y.i = p.a JOIN s z ON z.i = p.b),
+e AS (SELECT a, b FROM v WHERE 100 * met >= 80 * (na + nb - met)),
+o AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+m AS (SELECT o.a AS i, min(s.first) AS earliest, sum(s.copies)::BIGINT AS more FROM o JOIN s ON s.i = o.b GROUP BY o.a)
+SELECT k.doc_id, k.line_no, s.first.d AS class_doc_id, s.first.l AS class_line_no, (s.copies - 1 + coalesce(m.more, 0))::BIGINT AS n_links,
+       struct_pack(d := k.doc_id, l := k.line_no) > s.first OR coalesce(m.earliest < struct_pack(d := k.doc_id, l := k.line_no), false) AS removed
+FROM k JOIN s USING (c) LEFT JOIN m ON m.i = s.i
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -156,5 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_mixing": OP2_SQL,
+    "op4_repetition": OP4_SQL,
+    "op5_near_dedup": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op10_secret_scan": _op10_sql(),
 }
