@@ -21,11 +21,14 @@ from pyspark.sql.types import StructType
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q", 11: "f", 12: "d"}
 _WIDTH, _HEIGHT, _DESCRIPTION, _TILE_WIDTH = 256, 257, 270, 322
+#: Fixed values of the format: tags of where pixels lie and how they are packed.
+PIXELS = {259: "compression", 273: "strips", 277: "samples", 278: "strip_rows", 279: "strip_sizes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tiles", 325: "tile_sizes", 258: "bits"}
 SCHEMA = "path string, kind string, width int, height int, main_ifd int, levels array<struct<w:int,h:int,dsx:double,dsy:double>>, mpp_x double, mpp_y double, objective double, error string"
 
 
-def directories(data) -> list[dict]:
-    """Width, height, tiled and description of every page of a seekable file."""
+def directories(data, pixels: bool = False) -> list[dict]:
+    """Width, height, tiled and description of every page of a seekable file; ``pixels``: also where
+    its pixels lie, by the names of ``PIXELS``, all values of each."""
     head = data.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None:
@@ -39,19 +42,21 @@ def directories(data) -> list[dict]:
         n = struct.unpack(order + ("Q" if big else "H"), data.read(8 if big else 2))[0]
         entry, word = (20, 8) if big else (12, 4)
         block = data.read(n * entry + word)
-        tags = {}
+        tags, found = {}, {}
         for k in range(n):
             raw = block[k * entry : (k + 1) * entry]
             tag, kind = struct.unpack(order + "HH", raw[:4])
             count = struct.unpack(order + ("Q" if big else "I"), raw[4 : 4 + word])[0]
-            if tag not in (_WIDTH, _HEIGHT, _DESCRIPTION, _TILE_WIDTH):
+            if tag not in (_WIDTH, _HEIGHT, _DESCRIPTION, _TILE_WIDTH) and not (pixels and tag in PIXELS):
                 continue
             size, value = _SIZES.get(kind, 1) * count, raw[4 + word :]
             if size > word:
                 data.seek(struct.unpack(order + ("Q" if big else "I"), value)[0])
                 value = data.read(size)
+            if pixels and tag in PIXELS:
+                found[PIXELS[tag]] = struct.unpack(f"{order}{count}{_CODES[kind]}", value[:size])
             tags[tag] = value[:size].rstrip(b"\0").decode("utf-8", "ignore") if kind == 2 else struct.unpack(order + _CODES[kind], value[: _SIZES[kind]])[0]
-        pages.append({"w": tags.get(_WIDTH), "h": tags.get(_HEIGHT), "tiled": _TILE_WIDTH in tags, "description": tags.get(_DESCRIPTION, "")})
+        pages.append({"w": tags.get(_WIDTH), "h": tags.get(_HEIGHT), "tiled": _TILE_WIDTH in tags, "description": tags.get(_DESCRIPTION, "")} | found)
         at = struct.unpack(order + ("Q" if big else "I"), block[n * entry : n * entry + word])[0]
     return pages
 
