@@ -154,8 +154,8 @@ def _classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _band(size: Column) -> Column:
-    """Bands of set sizes, the longest of each twice as long as its shortest or somewhat more."""
-    return F.floor(F.log(size) / F.log(F.lit(2.44))).cast("int")
+    """Bands of set sizes, the longest of each half as long again as its shortest or somewhat more."""
+    return F.coalesce(F.floor(F.log(size) / F.log(F.lit(1.5625))).cast("int"), F.lit(0))
 
 
 def _bits(full: DataFrame) -> DataFrame:
@@ -203,7 +203,10 @@ def _candidates(kept: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     own = heads.join(met, "c").select("c", "n", "head", F.array_intersect("head", "met").alias("own")).join(_bits(full), "c")
     bits = [f"bits{k}" for k in range(BITMAP)]
     placed = own.select("c", "n", "head", "own", *bits, F.posexplode("own").alias("k", "token"))
-    posts = placed.select("token", "c", "n", (F.array_position("head", F.col("token")) - 1).cast("int").alias("pos"), *bits, F.slice("own", F.lit(1), F.col("k")).alias("before"))
+    placed = placed.withColumn("pos", (F.array_position("head", F.col("token")) - 1).cast("int"))
+    # None of these is null. Told so, the join's code is short enough for the JVM to compile.
+    known = (F.coalesce(x, F.lit(0).cast(kind)).alias(x) for x, kind in (("token", "long"), ("c", "long"), ("n", "int"), ("pos", "int"), *((b, "long") for b in bits)))
+    posts = placed.select(*known, F.slice("own", F.lit(1), F.col("k")).alias("before"))
     small = posts.where(F.col("pos") <= _rest(F.col("n"), 100 - percent, 100 + percent))
     small = small.withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.floor(100 * F.col("n") / percent)))))
     large = posts.withColumn("band", _band(F.col("n")))
@@ -214,9 +217,10 @@ def _candidates(kept: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     sizes = ((na < nb) | ((na == nb) & (F.col("c_a") < F.col("c_b")))) & (100 * na >= percent * nb)
     needed = F.ceil(percent * (na + nb) / (100 + percent))
     left = F.least(na - F.col("pos_a"), nb - F.col("pos_b")) >= needed
-    # Sets that overlap enough differ in no more tokens than this, and so in no more bits.
-    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits))
-    alike = differing <= na + nb - 2 * needed
+    # Sets that overlap enough differ in no more tokens than this, and so in no more bits; most pairs differ in more by a few words of the bitmap.
+    differing = [F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits]
+    few, all_of = (reduce(lambda x, y: x + y, part) for part in (differing[: BITMAP // 4], differing[BITMAP // 4 :]))
+    alike = (few <= na + nb - 2 * needed) & (few + all_of <= na + nb - 2 * needed)
     first = ~F.arrays_overlap("before_a", "before_b")
     return one.join(two, met & sizes & left & alike & first).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
 
