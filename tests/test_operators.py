@@ -1,5 +1,6 @@
 """Golden values, properties and edge cases of the library's own operators."""
 
+import hashlib
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import bags, geometry, jobs, metrics, pixels, rows, sampling, splits
-from tesserae.operators.numbering import numbered, running
+from tesserae.operators.numbering import numbered, placed, running
 from tesserae.sources import scans, sinks, tiff
 from tesserae.streaming import arrivals
 
@@ -232,3 +233,50 @@ def test_plans_push_filters_and_make_no_cross_products(spark):
         plan = plan_of(queries[name](spark, sf))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "Python" not in plan and "InPandas" not in plan, name
+
+
+def test_running_and_ranks_keep_null_groups_and_scores(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0), (None, 2.0), ("b", 3.0)], "g string, s double")
+    found = running(frame.selectExpr("*", "1 AS n"), ["g"], "s", {"upto": "n"}).collect()
+    assert sorted((r.g or "", r.s or 0.0, r.upto) for r in found) == [("", 2.0, 2), ("", 2.0, 2), ("a", 0.0, 1), ("a", 1.0, 2), ("b", 3.0, 1)]
+    ranked = metrics.percentile_rank(frame, ["g"], "s").collect()
+    assert sorted((r.g or "", r.s or 0.0, r.percentile) for r in ranked if r.s) == [("", 2.0, 75.0), ("", 2.0, 75.0), ("a", 1.0, 100.0), ("b", 3.0, 100.0)]
+    assert [r.percentile for r in ranked if r.s is None] == [None]
+
+
+@pytest.mark.parametrize("buckets", [2, 70, 5000])
+def test_places_do_not_depend_on_buckets(spark, buckets):
+    rows = [(k % 3 if k % 7 else None, f"k{k * 7919 % 1000:04d}", k * 7919 % 1000) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "g int, name string, number int")
+    for order in ("name", "number"):
+        found = {(r[order], r.place) for r in placed(frame, ["g"], [order], "place", buckets).collect()}
+        want = set()
+        for g in (None, 0, 1, 2):
+            want |= {(x, k + 1) for k, x in enumerate(sorted(r[1] if order == "name" else r[2] for r in rows if r[0] == g))}
+        assert found == want
+
+
+def test_stratified_split_equals_plain_windows(spark):
+    patients = spark.createDataFrame([(k, f"c{k % 3}" if k % 11 else None) for k in range(300)], "case_id long, label string")
+    found = {(r.fold, r.case_id): r.split for r in splits.stratified_split(patients, 2, 5, label_share=0.5).collect()}
+    for fold in range(2):
+        for label in {None, "c0", "c1", "c2"}:
+            own = [k for k in range(300) if (f"c{k % 3}" if k % 11 else None) == label]
+            drawn = sorted(own, key=lambda k: (hashlib.md5(f"5|{fold}|{k}".encode()).hexdigest(), k))
+            val, test = int(len(own) * 0.1), int(len(own) * 0.2)
+            train = sorted(drawn[val + test :])
+            want = dict.fromkeys(drawn[:val], "val") | dict.fromkeys(drawn[val : val + test], "test") | dict.fromkeys(train[: -(-len(train) // 2)], "train")
+            assert {k: found.get((fold, k)) for k in own if (fold, k) in found} == want
+
+
+def test_median_in_strips_and_regions_by_boxes(monkeypatch):
+    image = np.random.default_rng(2).integers(0, 256, (23, 31), dtype=np.uint8)
+    padded = np.pad(image, 2, mode="edge")
+    want = np.array([[np.median(padded[y : y + 5, x : x + 5]) for x in range(31)] for y in range(23)])
+    monkeypatch.setattr(pixels, "_AT_ONCE", 31 * 25 * 4)
+    assert (pixels.median(image, 5) == want).all()
+    mask = np.zeros((20, 30), np.uint8)
+    mask[2:10, 3:12], mask[4:8, 5:9], mask[12:18, 15:28], mask[14:16, 18:20] = 255, 0, 255, 0
+    found = pixels.contours(mask)
+    boxes = [(min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p), max(y for _, y in p), parent) for p, parent in found]
+    assert boxes == [(3, 2, 11, 9, None), (15, 12, 27, 17, None), (4, 3, 9, 8, 0), (17, 13, 20, 16, 1)]
