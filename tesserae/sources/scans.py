@@ -15,20 +15,36 @@ LABELS = "slide_id string, case_id string, label string, site string, sex string
 SLIDE_NAMES, CASE_NAMES = {"slide_id", "slide", "wsi", "filename", "file_id"}, {"patient", "patient_id", "case_id", "case", "subject"}
 
 
+def _loose(pattern: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+
+def _qualified(spark: SparkSession, top: str) -> str:
+    """``top`` as the paths of its files begin, with scheme and without a slash at the end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
+
+
 def files(spark: SparkSession, top: str, pattern: str = "*.svs", depth: int | None = None) -> DataFrame:
     """(path, length): files under ``top`` by pattern, whatever its case; contents aren't read."""
-    loose = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", loose).load(top).select("path", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _loose(pattern)).load(top).select("path", "length")
     if depth is not None:
         # Parts below the folder: the path after its own name.
-        below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^{top.rstrip('/')}/", "")
+        below = F.substr("path", F.lit(len(_qualified(spark, top)) + 2))
         found = found.where(F.size(F.split(below, "/")) <= depth)
     return found
 
 
-def listed(spark: SparkSession, top: str, pattern: str = "*") -> DataFrame:
-    """(place, name, path): the files of one folder, numbered by name."""
-    flat = files(spark, top, pattern, depth=1).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path")
+def listed(spark: SparkSession, top: str, pattern: str = "*", folders: bool = False) -> DataFrame:
+    """(place, name, path): the files of one folder, numbered by name. With ``folders`` a folder in it that has
+    the pattern's name counts as well, as a table of several files does, whatever its files are called."""
+    if folders:
+        at, named = _qualified(spark, top), spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(_loose(pattern)).compiled().pattern()
+        name = F.regexp_extract(F.substr("path", F.lit(len(at) + 2)), "^[^/]*", 0)
+        flat = files(spark, top, "*").select(name.alias("name")).where(F.col("name").rlike(f"(?s)^(?:{named})$")).distinct()
+        flat = flat.withColumn("path", F.concat(F.lit(f"{at}/"), "name"))
+    else:
+        flat = files(spark, top, pattern, depth=1).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path")
     return numbered(flat, "name", "place").select("place", "name", "path")
 
 

@@ -204,6 +204,16 @@ def test_scans_and_sinks(spark, tmp_path):
     assert len(spark.read.parquet(str(tmp_path / "b")).first().features) == 2
 
 
+def test_listed_takes_tables_of_several_files_and_other_paths(spark, tmp_path):
+    top = tmp_path / "a+b"
+    for name in ("b.parquet", "c.PARQUET/part-0", "c.PARQUET/part-1", "a.txt", "d/e.parquet"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("x")
+    for at in (str(top), f"{top}/", f"file://{top}"):
+        assert [tuple(r)[:2] for r in scans.listed(spark, at, "*.parquet", folders=True).orderBy("place").collect()] == [(0, "b.parquet"), (1, "c.PARQUET")]
+        assert [r["name"] for r in scans.listed(spark, at).orderBy("place").collect()] == ["a.txt", "b.parquet"]
+
+
 def test_arrivals_are_worked_on_once(spark, tmp_path):
     new, done, checkpoint = (str(tmp_path / x) for x in ("new", "done", "checkpoint"))
     spark.range(5).select(F.col("id").alias("slide_id")).write.parquet(new)
