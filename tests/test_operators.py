@@ -245,6 +245,15 @@ def test_plans_push_filters_and_make_no_cross_products(spark):
         assert "Python" not in plan and "InPandas" not in plan, name
 
 
+def test_images_are_not_sent_to_all_executors(spark):
+    slides = spark.range(3).withColumnsRenamed({"id": "slide_id"})
+    made = slides.select("slide_id", F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(bytes(range(12))).alias("rgb"))
+    tiles = slides.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("tile_idx"), (F.col("id") % 2).cast("int").alias("x"), F.floor(F.col("id") / 2).cast("int").alias("y")))
+    found = pixels.extract(made, tiles, 1, lambda images: [i[0, 0] for i in images], 3)
+    assert "SortMergeJoin" in plan_of(found) and "BroadcastHashJoin" not in plan_of(found)
+    assert sorted((r["slide_id"], r["tile_idx"], *r["feature"]) for r in found.collect()) == [(s, t, 3.0 * t, 3.0 * t + 1, 3.0 * t + 2) for s in range(3) for t in range(4)]
+
+
 def test_running_and_ranks_keep_null_groups_and_scores(spark):
     frame = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0), (None, 2.0), ("b", 3.0)], "g string, s double")
     found = running(frame.selectExpr("*", "1 AS n"), ["g"], "s", {"upto": "n"}).collect()
