@@ -71,10 +71,12 @@ def colour(score: Column) -> Column:
 
 
 def crops(pixels: DataFrame, patch: str, x: int, y: int, size: int) -> DataFrame:
-    """(patch, x, y, r, g, b): the square of ``size`` around a centre, places counted from its corner; what lies outside is black."""
+    """(patch, x, y, r, g, b): the square of ``size`` around a centre, places counted from its corner; what lies outside is black.
+    Pixels are never sent to all executors: Spark takes rows exploded from one for a single row's bytes."""
     spots = pixels.select(patch).distinct().select(patch, F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i")).select(patch, (F.col("i") % size).alias("cx"), F.floor(F.col("i") / size).cast("int").alias("cy"))
     near = pixels.select(patch, (F.col("x") - (x - size // 2)).alias("cx"), (F.col("y") - (y - size // 2)).alias("cy"), *RGB)
-    return spots.join(near, [patch, "cx", "cy"], "left").select(patch, F.col("cx").alias("x"), F.col("cy").alias("y"), *(F.coalesce(c, F.lit(0)).alias(c) for c in RGB))
+    near = near.where(F.col("cx").between(0, size - 1) & F.col("cy").between(0, size - 1))
+    return spots.join(near.hint("merge"), [patch, "cx", "cy"], "left").select(patch, F.col("cx").alias("x"), F.col("cy").alias("y"), *(F.coalesce(c, F.lit(0)).alias(c) for c in RGB))
 
 
 def channel_means(pixels: DataFrame, patch: str) -> DataFrame:

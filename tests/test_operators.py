@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import bags, geometry, jobs, metrics, pixels, rows, sampling, splits
+from tesserae.operators import bags, geometry, jobs, metrics, pixels, rasters, rows, sampling, splits
 from tesserae.operators.numbering import numbered, placed, running
 from tesserae.sources import scans, sinks, tiff
 from tesserae.streaming import arrivals
@@ -254,6 +254,15 @@ def test_images_are_not_sent_to_all_executors(spark):
     assert sorted((r["slide_id"], r["tile_idx"], *r["feature"]) for r in found.collect()) == [(s, t, 3.0 * t, 3.0 * t + 1, 3.0 * t + 2) for s in range(3) for t in range(4)]
 
 
+def test_pixels_of_crops_are_not_sent_to_all_executors(spark):
+    each = spark.range(18).select(F.floor(F.col("id") / 9).alias("patch"), (F.col("id") % 3).alias("x"), F.floor(F.col("id") % 9 / 3).alias("y"), *(F.col("id").alias(c) for c in "rgb"))
+    found = rasters.crops(each, "patch", 2, 2, 2)
+    assert "SortMergeJoin" in plan_of(found) and "BroadcastHashJoin" not in plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(p, x, y, *(9 * p + 3 * (y + 1) + x + 1,) * 3) for p in range(2) for x in range(2) for y in range(2)]
+    beyond = rasters.crops(each, "patch", 3, 3, 2)
+    assert sorted((r["patch"], r["x"], r["y"], r["r"]) for r in beyond.collect()) == [(p, x, y, 9 * p + 8 if x == y == 0 else 0) for p in range(2) for x in range(2) for y in range(2)]
+
+
 def test_running_and_ranks_keep_null_groups_and_scores(spark):
     frame = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0), (None, 2.0), ("b", 3.0)], "g string, s double")
     found = running(frame.selectExpr("*", "1 AS n"), ["g"], "s", {"upto": "n"}).collect()
