@@ -145,7 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars. Each turn hangs neighbours on the smallest one, so paths
     shrink by powers; a node of many links is only ever a key of a sum and of a join that Spark splits.
+    Shuffle files go turn by turn: with many partitions even those of few links fill disks.
     """
+    spark = edges.sparkSession
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
@@ -160,6 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        discard(spark)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
@@ -180,10 +183,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("id").alias("rep"), "n", "halves", "bits"),
         "near-classes",
     )
+    discard(docs.sparkSession)
     halves = saved(_shared_halves(reps), "near-halves")
     parts = components(links) if not several.isEmpty() else None
     tested = cut(_centres(halves))
+    discard(docs.sparkSession)
     compared = cut(_compared(tested, _sets_of(given, tested, words), percent))
+    discard(docs.sparkSession)
     reps = reps.join(compared.select(F.col("b").alias("rep"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("either")).alias("away")), "rep", "left")
     parts = _joined(parts, compared, percent)
     live = saved(_table_entries(halves, parts), "near-entries")

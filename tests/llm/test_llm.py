@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -323,6 +324,25 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in near_dedup.components(path).collect()} == {0}
 
 
+def test_components_let_go_of_shuffle_files_turn_by_turn(spark):
+    def kept():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def settled(most):
+        for _ in range(40):
+            if kept() <= most:
+                break
+            time.sleep(0.5)
+        return kept()
+
+    near_dedup.discard(spark)
+    at_first = settled(0)
+    path = [(k, k + 1) for k in range(40)]
+    found = near_dedup.components(spark.createDataFrame(path, "a long, b long"))
+    assert settled(at_first + 12) <= at_first + 12  # eight or so a turn, and four turns and more
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)}
+
+
 def test_line_dedup(spark, odd):
     rows = [*odd, (400, "x y z\n\n" + odd[0][1] + "\nnew words here for once and all\nx y z", "s1"), (401, odd[1][1] + " more\n" + odd[2][1], "s0")]
     frame = table(spark, rows)
