@@ -68,13 +68,19 @@ def _bucket(word: Column) -> Column:
     return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
+def _rank(ranks: Column, word: Column) -> Column:
+    # Never null, and told so: Spark sorts arrays without nulls as plain numbers.
+    return F.coalesce(ranks[_bucket(word)], F.lit(0))
+
+
 def rarity_ranks(docs: DataFrame, text_col: str = "text") -> Column:
     """A constant array with the place of every bucket, the rarest first.
 
     It has ``BUCKETS`` numbers whatever the corpus, so it goes through the driver into the plan.
     """
     spaced = F.replace(_spaced(text_of(text_col)), F.lit("\n"), F.lit(" "))
-    words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).where("word <> ''")
+    # Spaces in a row count as empty words, which moves one bucket and saves a look at every word.
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("word"))
     counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     seen = dict(counts.select("bucket", "n").collect())
     ranks = {bucket: rank for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b)))}
@@ -103,14 +109,28 @@ def _worded(lines: DataFrame, ranks: Column, words: int) -> DataFrame:
     """``lines`` with their words, the words' ranks, and in how many places a shingle begins."""
     split = F.split("line", " ")
     listed = lines.withColumn("words", F.when(_untidy(F.col("line")), F.array_remove(split, "")).otherwise(split))
-    ranked = listed.withColumn("ranked", F.transform("words", lambda w: ranks[_bucket(w)]))
-    return ranked.withColumn("places", F.greatest(F.size("words") - (words - 1), F.lit(1)))
+    ranked = listed.withColumn("ranked", F.transform("words", lambda w: _rank(ranks, w)))
+    return ranked.withColumn("places", _places(words))
+
+
+def _places(words: int) -> Column:
+    return F.greatest(F.size("words") - (words - 1), F.lit(1))
 
 
 def _all_tokens(words: int) -> Column:
     return _sorted_set(F.transform(F.slice("ranked", F.lit(1), F.col("places")), lambda rank, k: _token(rank, k, words)))
 
 
+def _full_sets(lines: DataFrame, ranks: Column, words: int) -> DataFrame:
+    """(c, n, tokens): the sorted set of all shingles of each class's line. Rows of tokens are made in compiled code, arrays are not."""
+    split = F.split("line", " ")
+    listed = lines.select("c", F.when(_untidy(F.col("line")), F.array_remove(split, "")).otherwise(split).alias("words")).withColumn("places", _places(words))
+    # Outer, as else the optimizer splits each line once more to see that it has words.
+    rows = listed.select("c", "words", "places", F.posexplode_outer("words").alias("k", "word")).where("k < places")
+    tokens = rows.select("c", _token(_rank(ranks, F.col("word")), F.col("k"), words).alias("token"))
+    return tokens.groupBy("c").agg(F.sort_array(F.collect_set("token")).alias("tokens")).select("c", F.size("tokens").alias("n"), "tokens")
+
+
 def _prefixes(worded: DataFrame, percent: int, words: int) -> DataFrame:
     """``prefix``: the first tokens in order, at least as many as a match must share one of; none of a line that is one shingle.
 
@@ -119,10 +139,10 @@ def _prefixes(worded: DataFrame, percent: int, words: int) -> DataFrame:
     counted = worded.withColumn("enough", _rest(F.col("places"), 100 - percent, 100) + 1)
     limited = counted.withColumn("last", F.sort_array(F.slice("ranked", F.lit(1), F.col("places")))[F.col("enough") - 1])
     at = F.filter(F.sequence(F.lit(0), F.col("places") - 1), lambda k: F.col("ranked")[k] <= F.col("last"))
-    some = limited.withColumn("some", _sorted_set(F.transform(at, lambda k: _token(F.col("ranked")[k], k, words))))
+    some = limited.withColumn("some", _sorted_set(F.transform(at, lambda k: _token(F.coalesce(F.col("ranked")[k], F.lit(0)), k, words))))
     prefix = F.slice(F.when(F.size("some") >= F.col("enough"), F.col("some")).otherwise(_all_tokens(words)), F.lit(1), F.col("enough"))
-    # A second use of "last" keeps the optimizer from moving the sort into the loop over places.
-    return some.withColumn("prefix", F.when((F.size("words") >= words) & F.col("last").isNotNull(), prefix))
+    # A second use of "last" keeps the optimizer from moving the sort into the loop over places; one that it can't take for true.
+    return some.withColumn("prefix", F.when((F.size("words") >= words) & (F.col("last") >= 0), prefix))
 
 
 def _rest(size: Column, part: int, whole: int) -> Column:
@@ -182,7 +202,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Null-safe: a class's first line may stand in a row without an id.
     there = reduce(lambda x, y: x & y, (F.col(x).eqNullSafe(F.col(f"at_{x}")) for x in _PLACE))
     chosen = split_lines(docs, id_col, text_col).join(firsts, there).dropDuplicates(["c"])
-    full = saved(_worded(chosen, ranks, words).withColumn("tokens", _all_tokens(words)).select("c", F.size("tokens").alias("n"), "tokens"), "line-sets")
+    full = saved(_full_sets(chosen.select("c", "line"), ranks, words), "line-sets")
     discard(docs.sparkSession)
     pairs = cut(_candidates(kept, full, percent))
     discard(docs.sparkSession, kept)

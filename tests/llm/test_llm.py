@@ -614,6 +614,22 @@ def test_line_dedup_at_other_similarities(spark):
         assert {r.id: r.n_links for r in line_dedup.line_dedup(table(spark, rows), percent=percent).collect()} == want
 
 
+def test_line_sets_come_from_compiled_rows(spark):
+    lines = ["a b c d e f g", "  x   y ", "one", "r s t u v r s t u v r s t u v", " p  q r s t u "]
+    frame = spark.createDataFrame(list(enumerate(lines)), "c long, line string")
+    ranks = line_dedup.rarity_ranks(frame, "line")
+    worded = line_dedup._worded(frame, ranks, 5)
+    assert not worded.schema["ranked"].dataType.containsNull  # else ranks are sorted as objects
+    found = line_dedup._full_sets(frame, ranks, 5)
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for k, w in enumerate(x.split() for x in lines)}
+    rows = {r.c: r for r in found.collect()}
+    assert {k: r.n for k, r in rows.items()} == {k: len(v) for k, v in sets.items()}
+    assert {k: r.tokens for k, r in rows.items()} == {r.c: r.tokens for r in worded.select("c", line_dedup._all_tokens(5).alias("tokens")).collect()}
+    prefixes = {r.c: r for r in line_dedup._prefixes(worded, 80, 5).select("c", "prefix").collect()}
+    assert {k: r.prefix for k, r in prefixes.items()} == {k: None if len(lines[k].split()) < 5 else rows[k].tokens[: len(lines[k].split()[4:]) // 5 + 1] for k in rows}
+
+
 def test_line_classes_under_one_hash_come_apart(spark, monkeypatch):
     lines = [f"{x} same words in every line of this text {x}" for x in ("a", "b")] * 2
     want = sorted((r.id, r.n_links, r.removed) for r in line_dedup.line_dedup(table(spark, [(k, t, "s") for k, t in enumerate(lines)])).collect())
